@@ -41,12 +41,27 @@ def fold_deltas(events: DataFrame, key: str, order: Sequence[str], delta: str =
     """(key, delta_sum, delta_floor): the effect of all events of a key."""
     cut = ordered_chunks(events, [F.col(key), *[F.col(c) for c in order]])
     summary = _chunk_summary(_prefix_sums(cut, key, order, delta), key, delta)
+    return _merge(summary, key)
+
+
+def _merge(summary: DataFrame, key: str) -> DataFrame:
     merged = _chunk_starts(summary, key).groupBy(key)
     return merged.agg(
         F.sum("_total").cast("long").alias("delta_sum"), F.min("_global_least").cast("long").alias("_least")
     ).select(key, "delta_sum", (F.col("delta_sum") - F.col("_least")).alias("delta_floor"))
 
 
+def merge_folds(folds: DataFrame, key: str, order: str) -> DataFrame:
+    """Fold of folds: effects stored per batch, combined in batch order."""
+    summary = folds.select(
+        F.col(order).alias("_chunk"),
+        key,
+        F.col("delta_sum").alias("_total"),
+        (F.col("delta_sum") - F.col("delta_floor")).alias("_least"),
+    )
+    return _merge(summary, key)
+
+
 def apply_fold(start: Column, delta_sum: Column, delta_floor: Column) -> Column:
     """Counter after the folded events."""
     return F.greatest(F.coalesce(start, F.lit(0)) + delta_sum, delta_floor)
@@ -78,7 +93,11 @@ def like_deltas(events: DataFrame, like: str = "like", unlike: str = "unlike") -
 
 def apply_likes(posts: DataFrame, events: DataFrame, order: Sequence[str]) -> DataFrame:
     """[M4] Posts after a batch of like and unlike events (post_id, action, order...)."""
-    folded = fold_deltas(like_deltas(events), "post_id", order)
+    return set_likes(posts, fold_deltas(like_deltas(events), "post_id", order))
+
+
+def set_likes(posts: DataFrame, folded: DataFrame) -> DataFrame:
+    """[M4] Posts after folded like events (post_id, delta_sum, delta_floor)."""
     joined = posts.join(folded.withColumnRenamed("post_id", "id"), "id", "left")
     likes = F.when(F.col("delta_sum").isNull(), F.col("likes")).otherwise(
         apply_fold(F.col("likes"), F.col("delta_sum"), F.col("delta_floor"))

@@ -288,11 +288,13 @@ def pair_total(images: DataFrame, pairs: DataFrame) -> DataFrame:
 # --- clusters ---------------------------------------------------------------------
 
 
-def cluster_posts(images: DataFrame, threshold: int = DEFAULT_THRESHOLD, words: int | None = None) -> DataFrame:
+def cluster_posts(
+    images: DataFrame, threshold: int = DEFAULT_THRESHOLD, words: int | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """[X5] (component, post_id, likes): the posts of every cluster of similar images."""
     images = materialise(images.select("hash", "post_id", "likes"), "images")
     groups = hash_groups(images)
-    links = linked_hashes(groups, similar_hashes(groups, threshold, words))
+    links = linked_hashes(groups, similar_hashes(groups, threshold, words) if pairs is None else pairs)
     parts = connected_components(links, "hash_a", "hash_b")
     # A hash shared by many posts has one row on the small side of this join.
     counts = groups.select("hash", "n")
