@@ -123,12 +123,18 @@ likes_log AS (
   SELECT user_id + 1 AS post_id, event_id, ts,
     CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 END AS delta
   FROM events WHERE event_type IN ('click', 'error')),
+vectors AS (
+  SELECT vec_id, label, c, (list_sort(c)[32] + list_sort(c)[33]) / 2 AS med
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS c FROM embeddings)),
+hashes AS (
+  SELECT vec_id, label, list_reduce(list_transform(range(64), lambda i: CASE WHEN c[i + 1] > med
+    THEN (CASE WHEN i = 63 THEN CAST(-9223372036854775808 AS BIGINT) ELSE CAST(1 AS BIGINT) << i END)
+    ELSE CAST(0 AS BIGINT) END), lambda x, y: x | y) AS hash
+  FROM vectors),
 assets AS (
-  SELECT 'e' || vec_id || '_' || v AS key, vec_id % 200 + 1 AS post_id, vec_id, v,
-    xor((SELECT bit_or(CASE WHEN e.c[CAST(i AS INTEGER) + 1] > (list_sort(e.c)[32] + list_sort(e.c)[33]) / 2
-       THEN (CASE WHEN i = 63 THEN CAST(-9223372036854775808 AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(i AS INTEGER) END) ELSE 0 END)
-       FROM range(64) r(i)), (CAST(1 AS BIGINT) << CAST(v * (vec_id % 4) AS INTEGER)) - 1) AS hash
-  FROM (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS c FROM embeddings) e, range(3) w(v)),
+  SELECT 'e' || vec_id || '_' || v AS key, vec_id // 2 + v * 3 + 1 AS post_id, vec_id, label, v,
+    xor(hash, (CAST(1 AS BIGINT) << CAST(v * (vec_id % 4) AS BIGINT)) - 1) AS hash
+  FROM hashes, range(3) w(v)),
 images AS (
   SELECT a.key, a.post_id, a.hash, p.likes, p.title FROM assets a JOIN posts p ON p.id = a.post_id WHERE p.published = 1)
 """
@@ -309,7 +315,7 @@ class Views:
         mask = F.expr("shiftleft(1L, cast(v * (vec_id % 4) as int)) - 1")
         return rows.select(
             F.concat(F.lit("e"), "vec_id", F.lit("_"), "v").alias("key"),
-            (F.col("vec_id") % 200 + 1).alias("post_id"),
+            (F.floor(F.col("vec_id") / 2) + F.col("v") * 3 + 1).cast("long").alias("post_id"),
             F.col("_hash").bitwiseXOR(mask).alias("hash"),
         )
 
