@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from shutterlake.operators import accounts, changes, dedup
 from shutterlake.schema import Catalogue
+from shutterlake.session import materialise
 
 
 class Cleanup(NamedTuple):
@@ -25,7 +26,8 @@ def cleanup(cat: Catalogue, objects: DataFrame, now: datetime, limit: int | None
 
 def remove_copies(cat: Catalogue, objects: DataFrame) -> Catalogue:
     """[X7, X10] Find and merge all copies of posts."""
-    return dedup.apply_post_fixes(cat, objects, dedup.duplicate_posts(cat.posts, objects))
+    found = materialise(dedup.duplicate_posts(cat.posts, objects), "found")
+    return dedup.apply_post_fixes(cat, objects, found)
 
 
 def rename(cat: Catalogue, renames: DataFrame) -> Catalogue:

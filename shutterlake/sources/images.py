@@ -30,13 +30,14 @@ def dct_coefficients(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """[X2] 1,024 grey values, row by row, to the 8x8 lowest coefficients, row by row."""
     basis = _basis()
     for pixels in batches:
-        good = pixels.map(lambda p: p is not None and len(p) == SIDE * SIDE)
-        out = pd.Series([None] * len(pixels), index=pixels.index, dtype=object)
-        if good.any():
-            block = np.stack([np.asarray(p, dtype=np.float64) for p in pixels[good]]).reshape(-1, SIDE, SIDE)
-            low = (basis @ block @ basis.T).reshape(-1, LOW * LOW)
-            out[good] = list(low)
-        yield out
+        good = [p is not None and len(p) == SIDE * SIDE for p in pixels]
+        out: list[np.ndarray | None] = [None] * len(pixels)
+        chosen = [np.asarray(p, dtype=np.float64) for p, ok in zip(pixels, good) if ok]
+        if chosen:
+            low = basis @ np.stack(chosen).reshape(-1, SIDE, SIDE) @ basis.T
+            for i, row in zip(np.flatnonzero(good), low.reshape(-1, LOW * LOW)):
+                out[i] = row
+        yield pd.Series(out, index=pixels.index, dtype=object)
 
 
 def _grey_square(height: int, width: int, channels: int, data: bytes) -> list[int] | None:

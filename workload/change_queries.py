@@ -227,8 +227,8 @@ def _image_phash(v: Views) -> DataFrame:
 query(
     "hamming_to_first",
     """,
-pivot AS (SELECT hash AS h0 FROM hashes WHERE vec_id = 0)
-SELECT vec_id, CAST(bit_count(xor(hash, h0)) AS BIGINT) AS distance, (64 - bit_count(xor(hash, h0))) * 100.0::DOUBLE / 64 AS similarity_pct FROM hashes, pivot""",
+base_hash AS (SELECT hash AS h0 FROM hashes WHERE vec_id = 0)
+SELECT vec_id, CAST(bit_count(xor(hash, h0)) AS BIGINT) AS distance, (64 - bit_count(xor(hash, h0))) * 100.0::DOUBLE / 64 AS similarity_pct FROM hashes, base_hash""",
 )(lambda v: _to_first(v))
 
 

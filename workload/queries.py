@@ -259,9 +259,9 @@ SELECT b AS total_bytes, CAST(10000000000 AS BIGINT) AS limit_bytes, greatest(0,
 query(
     "upload_admission",
     """,
-sums AS (SELECT CAST((SELECT sum(size) FROM objects) AS BIGINT) AS total_bytes,
+both_sums AS (SELECT CAST((SELECT sum(size) FROM objects) AS BIGINT) AS total_bytes,
   CAST((SELECT coalesce(sum(CAST(l_quantity AS BIGINT) * 1000), 0) FROM lineitem) AS BIGINT) AS incoming_bytes)
-SELECT total_bytes, incoming_bytes, total_bytes + incoming_bytes >= 9500000000 AS rejected FROM sums""",
+SELECT total_bytes, incoming_bytes, total_bytes + incoming_bytes >= 9500000000 AS rejected FROM both_sums""",
 )(
     lambda v: overview.admit_upload(
         v.objects(), v.table("lineitem").select((F.col("l_quantity").cast("long") * 1000).alias("size"))
@@ -376,7 +376,7 @@ query(
     """,
 urls AS (SELECT url, type FROM timeline UNION ALL SELECT url, 'photo' FROM pages)
 SELECT regexp_replace(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#\\s]+([^?#]*)', 1), '([^/]*)/*\\z', 1), '\\.[a-zA-Z0-9]+\\z', '') AS media_id,
-  CASE WHEN type <> 'photo' THEN '.mp4' WHEN url LIKE '%?format=png' THEN '.png' ELSE '.jpg' END AS ext, count(*) AS n
+  CASE WHEN type <> 'photo' THEN '.mp4' WHEN url LIKE '%?format=png' THEN '.png' WHEN url LIKE '%.html%' THEN '.html' ELSE '.jpg' END AS ext, count(*) AS n
 FROM urls GROUP BY 1, 2""",
 )(
     lambda v: v.timeline()
