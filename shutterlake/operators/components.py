@@ -10,38 +10,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.operators.skew import heaviest, salted_join
+from shutterlake.operators.skew import HOT_ROWS, heaviest, salted_join
 from shutterlake.session import drop_path, fresh_path
 
 MAX_ROUNDS = 60
 
 
-def _with_least(adjacency: DataFrame) -> DataFrame:
+def _with_least(adjacency: DataFrame, rows: int) -> DataFrame:
     """Adjacency rows (u, v) with `m`, the least of u and all its neighbours.
 
-    The least node is a map-side combined aggregate; joining it back spreads hubs.
+    The least node is a map-side combined aggregate.  Joining it back spreads hubs,
+    unless the whole graph has fewer rows than a hub.
     """
     least = adjacency.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_degree"))
-    hubs = heaviest(least, ["u"], "_degree")
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return salted_join(adjacency, least, ["u"], hubs, spread=["v"])
+    named = least.select("u", F.least("u", "m").alias("m"))
+    if rows < HOT_ROWS:
+        return adjacency.join(named, "u")
+    return salted_join(adjacency, named, ["u"], heaviest(least, ["u"], "_degree"), spread=["v"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = _with_least(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    starred = _with_least(down)
-    linked = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-        starred.select("u", F.col("m").alias("v"))
-    )
+    starred = _with_least(down, rows)
+    linked = starred.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
     return linked.filter("u <> v").distinct()
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    hashed = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(hashed), F.sum(hashed.cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node that has an edge to another node.
 
@@ -50,22 +55,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     spark = edges.sparkSession
     current = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct()
-    fingerprint, path = None, None
+    path = fresh_path(spark, "components")
+    current.write.parquet(path)
+    current = spark.read.schema(current.schema).parquet(path)
+    state = _fingerprint(current)
     for _ in range(MAX_ROUNDS):
-        step = _small_star(_large_star(current))
+        step = _small_star(_large_star(current, state[0]), state[0])
         written = fresh_path(spark, "components")
         step.write.parquet(written)
         current = spark.read.schema(step.schema).parquet(written)
-        if path:
-            drop_path(spark, path)
-        path = written
-        hashed = F.xxhash64("u", "v")
-        row = current.agg(
-            F.count(F.lit(1)), F.bit_xor(hashed), F.sum(hashed.cast("decimal(38,0)"))
-        ).first()
-        if tuple(row) == fingerprint:
+        drop_path(spark, path)
+        before, state, path = state, _fingerprint(current), written
+        if state == before:
             break
-        fingerprint = tuple(row)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = current.select(F.col("v").alias("node")).distinct()

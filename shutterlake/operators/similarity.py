@@ -12,7 +12,8 @@ from itertools import combinations
 from math import comb
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -152,29 +153,22 @@ def similar_hashes(
     ]
 
     stored = _word_rows(hashes, plan)
-    counts = stored.groupBy("word", "value").agg(F.count(F.lit(1)).alias("_rows"))
-    crowded = heaviest(counts, ["word", "value"], "_rows", crowded_rows)
-    crowded = F.broadcast(crowded.withColumn("_crowded", F.lit(True)))
     masks, submasks, subwords, checks = _plan_tables(groups, plan, inner_words, threshold)
-
-    def keyed(rows: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
-        """Add a second word to rows of crowded buckets, and a constant to the others."""
-        marked = rows.join(crowded, ["word", "value"], "left").alias("r")
-        match = F.col("_crowded")
-        for name in on:
-            match = match & (F.col(f"r.{name}") == F.col(f"s.{name}"))
-        added = [c for c in second.columns if c not in on]
-        joined = marked.join(second.alias("s"), match, "left").select("r.*", *[f"s.{c}" for c in added])
-        cut = _cut(_rotated(F.col("hash"), F.col("turn")), F.col("shift"), F.col("ones"))
-        return joined.withColumns({"sub": F.coalesce("sub", F.lit(-1)), "subvalue": F.coalesce(cut, F.lit(0))})
-
     flipped = stored.join(masks, "word").withColumn("value", F.col("value").bitwiseXOR(F.col("mask")))
-    probes = keyed(flipped, submasks, ["word", "flips"])
-    tried = F.col("subvalue").bitwiseXOR(F.coalesce("submask", F.lit(0))).alias("subvalue")
-    probes = probes.select("word", "value", "sub", tried, "flips", F.col("hash").alias("hash_a"))
     keys = ["word", "value", "sub", "subvalue"]
-    targets = keyed(stored, subwords, ["word"]).select(*keys, F.col("hash").alias("hash_b"))
-    met = salted_join(targets, probes, keys, hot_keys(targets, keys, crowded_rows), spread=["hash_b"])
+    if n_hashes < crowded_rows:
+        # No bucket can be crowded, so first words are enough.
+        met = flipped.select("word", "value", "flips", F.lit(-1).alias("sub"), F.col("hash").alias("hash_a")).join(
+            stored.select("word", "value", F.col("hash").alias("hash_b")), ["word", "value"]
+        )
+    else:
+        counts = stored.groupBy("word", "value").agg(F.count(F.lit(1)).alias("_rows"))
+        crowded = heaviest(counts, ["word", "value"], "_rows", crowded_rows)
+        probes = _second_word(flipped, crowded, submasks, ["word", "flips"])
+        tried = F.col("subvalue").bitwiseXOR(F.coalesce("submask", F.lit(0))).alias("subvalue")
+        probes = probes.select("word", "value", "sub", tried, "flips", F.col("hash").alias("hash_a"))
+        targets = _second_word(stored, crowded, subwords, ["word"]).select(*keys, F.col("hash").alias("hash_b"))
+        met = salted_join(targets, probes, keys, hot_keys(targets, keys, crowded_rows), spread=["hash_b"])
 
     a, b = F.col("hash_a"), F.col("hash_b")
     close = met.filter((a < b) & (hamming(a, b) <= threshold)).join(checks, ["word", "flips"])
@@ -186,6 +180,33 @@ def similar_hashes(
     return close.filter(once).select("hash_a", "hash_b", hamming(a, b).alias("distance"))
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple], fields: list[tuple]) -> DataFrame:
+    """Rows known beforehand as a local relation: planned with its size, read by no job."""
+    names = [name for name, _ in fields]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+
+    def value(cell):
+        if isinstance(cell, list):
+            return [dict(zip(("shift", "ones", "radius"), item)) for item in cell]
+        return cell
+
+    arrays = [pa.array([value(c) for c in column], kind) for column, (_, kind) in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=names))
+
+
+def _second_word(rows: DataFrame, crowded: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
+    """Add a second word to rows of crowded buckets, and a constant to the others."""
+    marks = F.broadcast(crowded.withColumn("_crowded", F.lit(True)))
+    marked = rows.join(marks, ["word", "value"], "left").alias("r")
+    match = F.col("_crowded")
+    for name in on:
+        match = match & (F.col(f"r.{name}") == F.col(f"s.{name}"))
+    added = [c for c in second.columns if c not in on]
+    joined = marked.join(second.alias("s"), match, "left").select("r.*", *[f"s.{c}" for c in added])
+    cut = _cut(_rotated(F.col("hash"), F.col("turn")), F.col("shift"), F.col("ones"))
+    return joined.withColumns({"sub": F.coalesce("sub", F.lit(-1)), "subvalue": F.coalesce(cut, F.lit(0))})
+
+
 def _word_rows(hashes: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     """(hash, word, value) for each word of each hash."""
     parts = [
@@ -223,13 +244,14 @@ def _plan_tables(
                 submasks += [(i, flips, j, turn, s, _ones(w), mask) for mask, _ in _masks(w, r)]
                 if flips == 0:
                     subwords.append((i, j, turn, s, _ones(w)))
-    where = "sub int, turn int, shift int, ones long"
-    words = "array<struct<shift:int,ones:long,radius:int>>"
+    where = [("sub", pa.int32()), ("turn", pa.int32()), ("shift", pa.int32()), ("ones", pa.int64())]
+    cuts = pa.list_(pa.struct([("shift", pa.int32()), ("ones", pa.int64()), ("radius", pa.int32())]))
+    word, flips = ("word", pa.int32()), ("flips", pa.int32())
     tables = (
-        spark.createDataFrame(masks, "word int, mask long, flips int"),
-        spark.createDataFrame(submasks, f"word int, flips int, {where}, submask long"),
-        spark.createDataFrame(subwords, f"word int, {where}"),
-        spark.createDataFrame(checks, f"word int, flips int, turn int, outer_plan {words}, inner_plan {words}"),
+        _literal_table(spark, masks, [word, ("mask", pa.int64()), flips]),
+        _literal_table(spark, submasks, [word, flips, *where, ("submask", pa.int64())]),
+        _literal_table(spark, subwords, [word, *where]),
+        _literal_table(spark, checks, [word, flips, ("turn", pa.int32()), ("outer_plan", cuts), ("inner_plan", cuts)]),
     )
     return tuple(F.broadcast(t) for t in tables)
 

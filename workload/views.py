@@ -114,7 +114,7 @@ timeline AS (
   SELECT 'acct' || l_suppkey AS account,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) AS pos,
     CAST({BASE_ID} + 1000 * l_orderkey AS VARCHAR) AS tweet_id,
-    'https://media.example/a/' || (l_partkey % 20) || CASE l_returnflag WHEN 'A' THEN '?format=png' WHEN 'N' THEN '.mp4?tag=1' ELSE '.gif' END AS url,
+    'https://media.example/' || l_suppkey || '/' || (l_partkey % 20) || CASE l_returnflag WHEN 'A' THEN '?format=png' WHEN 'N' THEN '.mp4?tag=1' ELSE '.gif' END AS url,
     CASE l_returnflag WHEN 'A' THEN 'photo' WHEN 'N' THEN 'Video' ELSE 'animated_gif' END AS type,
     strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS date,
     'item ' || l_linenumber AS content, CASE WHEN l_linestatus = 'O' THEN ' Nick ' || l_suppkey ELSE '' END AS nick
@@ -279,11 +279,14 @@ class Views:
         )
 
     def timeline(self) -> DataFrame:
+        return self.timeline_rows(self.table("lineitem"))
+
+    @staticmethod
+    def timeline_rows(li: DataFrame) -> DataFrame:
         """One row per line item; an account's feed runs from the newest shipment back.
 
         `pos` packs the order into one sortable value, so no global numbering is needed.
         """
-        li = self.table("lineitem")
         flag, part = F.col("l_returnflag"), (F.col("l_partkey") % 20).cast("string")
         end = F.when(flag == "A", "?format=png").when(flag == "N", ".mp4?tag=1").otherwise(".gif")
         seconds = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
@@ -293,7 +296,7 @@ class Views:
             F.concat(F.lit("acct"), "l_suppkey").alias("account"),
             pos.alias("pos"),
             (F.lit(BASE_ID) + 1000 * F.col("l_orderkey")).cast("string").alias("tweet_id"),
-            F.concat(F.lit("https://media.example/a/"), part, end).alias("url"),
+            F.concat(F.lit("https://media.example/"), "l_suppkey", F.lit("/"), part, end).alias("url"),
             F.when(flag == "A", "photo").when(flag == "N", "Video").otherwise("animated_gif").alias("type"),
             F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("date"),
             F.concat(F.lit("item "), "l_linenumber").alias("content"),
