@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,18 +17,26 @@ def signed(value: int) -> int:
 def phash_from_coefficients(values: Column | str) -> Column:
     """[X1] Bit i is set when coefficient i is above the median of all 64.
 
-    Spelled out bit by bit, so that the expression stays in compiled code; the
-    median is a common subexpression and is evaluated once per row.
+    One-element arrays bind the sorted values and the median once per row; as plain
+    subexpressions they would be computed again for every bit.
     """
     values = F.col(values) if isinstance(values, str) else values
     doubles = values.cast("array<double>")
-    ordered = F.array_sort(doubles)
-    median = (ordered[31] + ordered[32]) / 2
-    bits = [
-        F.when(doubles[i] > median, F.lit(signed(1 << i))).otherwise(F.lit(0).cast("long"))
-        for i in range(HASH_BITS)
-    ]
-    return F.when(F.size(values) == HASH_BITS, reduce(lambda a, b: a.bitwiseOR(b), bits))
+
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def bind(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def bits(b: Column) -> Column:
+        above = F.transform(b["v"], lambda x: F.when(x > b["median"], one).otherwise(zero))
+        return F.aggregate(F.reverse(above), zero, lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit))
+
+    def with_median(ordered: Column) -> Column:
+        median = (ordered[31] + ordered[32]) / 2
+        return bind(F.struct(doubles.alias("v"), median.alias("median")), bits)
+
+    return F.when(F.size(values) == HASH_BITS, bind(F.sort_array(doubles), with_median))
 
 
 def valid_hash(c: Column | str) -> Column:
