@@ -32,11 +32,13 @@ def phash_from_coefficients(values: Column | str) -> Column:
         above = F.transform(b["v"], lambda x: F.when(x > b["median"], one).otherwise(zero))
         return F.aggregate(F.reverse(above), zero, lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit))
 
-    def with_median(ordered: Column) -> Column:
-        median = (ordered[31] + ordered[32]) / 2
-        return bind(F.struct(doubles.alias("v"), median.alias("median")), bits)
+    def with_median(b: Column) -> Column:
+        median = (b["ordered"][31] + b["ordered"][32]) / 2
+        return bind(F.struct(b["v"].alias("v"), median.alias("median")), bits)
 
-    return F.when(F.size(values) == HASH_BITS, bind(F.sort_array(doubles), with_median))
+    # Lambdas use only what is bound, so the input may also come from a Python function.
+    both = bind(doubles, lambda v: F.struct(v.alias("v"), F.sort_array(v).alias("ordered")))
+    return bind(F.when(F.size(doubles) == HASH_BITS, both), with_median)
 
 
 def valid_hash(c: Column | str) -> Column:

@@ -49,9 +49,9 @@ def hash_new_media(cat: Catalogue, pixels: DataFrame, limit: int | None = None)
     todo = similarity.unhashed_media(cat.posts, cat.assets).select("post_id", "key")
     if limit is not None:
         todo = todo.orderBy("post_id", "key").limit(limit)
-    joined = todo.join(pixels, "key", "left")
-    hashed = joined.withColumn("coefficients", dct_coefficients("pixels"))
-    reason = F.when(F.col("pixels").isNull(), "image missing or unreadable").when(
+    joined = todo.join(pixels, "key", "left").withColumn("found", F.col("pixels").isNotNull())
+    hashed = dct_coefficients(joined)
+    reason = F.when(~F.col("found"), "image missing or unreadable").when(
         F.col("coefficients").isNull(), "unexpected pixel format"
     )
     return hashed.select(

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 SIDE, LOW = 32, 8
 
@@ -25,19 +25,26 @@ def _basis() -> np.ndarray:
     return rows / 2.0
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def dct_coefficients(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """[X2] 1,024 grey values, row by row, to the 8x8 lowest coefficients, row by row."""
+def _coefficients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     basis = _basis()
-    for pixels in batches:
-        good = [p is not None and len(p) == SIDE * SIDE for p in pixels]
-        out: list[np.ndarray | None] = [None] * len(pixels)
-        chosen = [np.asarray(p, dtype=np.float64) for p, ok in zip(pixels, good) if ok]
+    for batch in batches:
+        good = [p is not None and len(p) == SIDE * SIDE for p in batch["pixels"]]
+        out: list[np.ndarray | None] = [None] * len(batch)
+        chosen = [np.asarray(p, dtype=np.float64) for p, ok in zip(batch["pixels"], good) if ok]
         if chosen:
             low = basis @ np.stack(chosen).reshape(-1, SIDE, SIDE) @ basis.T
             for i, row in zip(np.flatnonzero(good), low.reshape(-1, LOW * LOW)):
                 out[i] = row
-        yield pd.Series(out, index=pixels.index, dtype=object)
+        yield batch.drop(columns="pixels").assign(coefficients=out)
+
+
+def dct_coefficients(images: DataFrame) -> DataFrame:
+    """[X2] Replace `pixels` (1,024 grey values, row by row) by `coefficients`: the 8x8
+    lowest ones, row by row.  Other shapes give NULL; all other columns stay.
+    """
+    kept = [f for f in images.schema.fields if f.name != "pixels"]
+    schema = StructType([*kept, StructField("coefficients", ArrayType(DoubleType()))])
+    return images.select(*[f.name for f in kept], "pixels").mapInPandas(_coefficients, schema)
 
 
 def _grey_square(height: int, width: int, channels: int, data: bytes) -> list[int] | None:

@@ -9,7 +9,7 @@ from shutterlake.functions import hashing
 from shutterlake.operators import accounts, changes, counters, dedup, ingest, ledger, similarity, tagging, timeline
 from shutterlake.operators import tags as tag_ops
 from shutterlake.plans import maintenance, near_duplicates
-from shutterlake.session import fresh_path
+from shutterlake.session import fresh_path, materialise
 from shutterlake.sources import images as image_source
 from shutterlake.sources import tables
 from shutterlake.streaming import ingest as ingest_stream_job
@@ -216,12 +216,13 @@ def _image_phash(v: Views) -> DataFrame:
     """Vectors drawn as 8x8 grey cells of 4x4 pixels, hashed like any image."""
     cell = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127).cast("int"))
     index = F.sequence(F.lit(0), F.lit(1023))
-    drawn = v.table("embeddings").select("vec_id", cell.alias("cell")).select(
-        "vec_id",
-        F.transform(index, lambda i: F.col("cell")[(F.floor(i / 128) * 8 + F.floor((i % 32) / 4)).cast("int")]).alias("pixels"),
-    )
-    coefficients = drawn.select("vec_id", image_source.dct_coefficients("pixels").alias("c"))
-    return coefficients.select("vec_id", hashing.phash_from_coefficients("c").alias("hash"))
+
+    def draw(cells):
+        return F.transform(index, lambda i: cells[(F.floor(i / 128) * 8 + F.floor((i % 32) / 4)).cast("int")])
+
+    drawn = v.table("embeddings").select("vec_id", F.transform(F.array(cell), draw)[0].alias("pixels"))
+    coefficients = image_source.dct_coefficients(drawn)
+    return coefficients.select("vec_id", hashing.phash_from_coefficients("coefficients").alias("hash"))
 
 
 query(
@@ -258,7 +259,7 @@ image_pairs AS (SELECT a.post_id AS pa, a.key AS ka, a.likes AS la, a.title AS t
 
 
 def _links(v: Views, threshold: int) -> DataFrame:
-    groups = similarity.hash_groups(v.images())
+    groups = materialise(similarity.hash_groups(v.images()), "groups")
     return similarity.linked_hashes(groups, similarity.similar_hashes(groups, threshold))
 
 
@@ -270,8 +271,15 @@ for _t in (3, 10, 20):
         lambda v, t=_t: similarity.describe_pairs(_links(v, t)).drop("similarity")
     )
 query("pair_total", IMAGE_PAIRS.format(t=18) + " SELECT count(*) AS total_pairs FROM image_pairs")(
-    lambda v: similarity.pair_total(v.images(), similarity.similar_hashes(similarity.hash_groups(v.images()), 18))
+    lambda v: _pair_total(v)
 )
+
+
+def _pair_total(v: Views) -> DataFrame:
+    images = materialise(v.images(), "images")
+    return similarity.pair_total(images, similarity.similar_hashes(similarity.hash_groups(images), 18))
+
+
 query(
     "sample_pairs",
     IMAGE_PAIRS.format(t=10)
@@ -284,7 +292,7 @@ FROM image_pairs ORDER BY pa, ka, pb, kb LIMIT 100""",
 
 
 def _sample(v: Views) -> DataFrame:
-    images = v.images()
+    images = materialise(v.images(), "images")
     pairs = similarity.similar_hashes(similarity.hash_groups(images), 10)
     return similarity.sample_pairs(images, pairs).drop("similarity")
 
