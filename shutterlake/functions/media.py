@@ -20,7 +20,7 @@ CONTENT_TYPES = {
     ".mov": "video/quicktime",
     ".m4v": "video/x-m4v",
 }
-_URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\s]+([^?#]*)(?:\?([^#]*))?"
+_URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\s]+"
 
 
 def split_keys(c: Column | str) -> Column:
@@ -60,7 +60,8 @@ def status_id(url: Column | str) -> Column:
 
 
 def _base_name(url: Column) -> Column:
-    return F.regexp_extract(F.regexp_extract(url, _URL, 1), r"([^/]*)/*\z", 1)
+    """Last part of the path, without slashes behind it; empty when there is none."""
+    return F.regexp_extract(url, _URL + r"[^?#]*/([^/?#]+)/*(?:[?#]|\z)", 1)
 
 
 def media_id(url: Column | str) -> Column:
@@ -73,11 +74,10 @@ def media_id(url: Column | str) -> Column:
 def url_extension(url: Column | str) -> Column:
     """[C7] `?format=` wins over the path's extension; `.jpg` when neither exists."""
     url = F.col(url) if isinstance(url, str) else url
-    fmt = F.regexp_extract(F.regexp_extract(url, _URL, 2), r"(?:^|&)format=([^&]+)", 1)
-    ext = F.regexp_extract(_base_name(url), r"[^.].*(\.[^.]*)\z", 1)
-    single = F.regexp_extract(_base_name(url), r"^[^.](\.[^.]*)\z", 1)
-    found = F.when(fmt != "", F.concat(F.lit("."), fmt)).when(ext != "", ext).when(single != "", single)
-    return F.coalesce(found, F.lit(".jpg"))
+    fmt = F.regexp_extract(url, _URL + r"[^?#]*\?(?:[^#]*&)?format=([^&#]+)", 1)
+    # A dot in front does not start an extension.
+    ext = F.regexp_extract(_base_name(url), r".(\.[^.]*)\z", 1)
+    return F.when(fmt != "", F.concat(F.lit("."), fmt)).when(ext != "", ext).otherwise(".jpg")
 
 
 def item_extension(kind: Column | str, url: Column | str) -> Column:
