@@ -38,6 +38,8 @@ MAX_PROBES = 5_000
 PROBE_COST = 100
 # Hashes sharing a word from which a second word is used.
 CROWDED_ROWS = 20_000
+# At most so many buckets are split this way: about a megabyte to broadcast.
+CROWDED_BUCKETS = 65_536
 
 
 def hashed_assets(assets: DataFrame, posts: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def similar_hashes(
         )
     else:
         counts = stored.groupBy("word", "value").agg(F.count(F.lit(1)).alias("_rows"))
-        crowded = heaviest(counts, ["word", "value"], "_rows", crowded_rows)
+        crowded = heaviest(counts, ["word", "value"], "_rows", crowded_rows, CROWDED_BUCKETS)
         probes = _second_word(flipped, crowded, submasks, ["word", "flips"])
         tried = F.col("subvalue").bitwiseXOR(F.coalesce("submask", F.lit(0))).alias("subvalue")
         probes = probes.select("word", "value", "sub", tried, "flips", F.col("hash").alias("hash_a"))

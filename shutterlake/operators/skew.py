@@ -24,11 +24,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Da
     return heaviest(counts, keys, "_rows", min_rows)
 
 
-def heaviest(counts: DataFrame, keys: Sequence[str], rows: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """`hot_keys` where the rows per key have been counted before."""
-    return (
-        counts.filter(F.col(rows) >= min_rows).orderBy(F.col(rows).desc(), *keys).limit(HOT_KEYS).select(*keys)
-    )
+def heaviest(
+    counts: DataFrame, keys: Sequence[str], rows: str, min_rows: int = HOT_ROWS, limit: int = HOT_KEYS
+) -> DataFrame:
+    """`hot_keys` where the rows per key have been counted before; at most `limit` rows."""
+    return counts.filter(F.col(rows) >= min_rows).orderBy(F.col(rows).desc(), *keys).limit(limit).select(*keys)
 
 
 def salted_join(

@@ -53,9 +53,9 @@ def test_status_id_and_object_key(spark):
 @pytest.mark.parametrize(
     ("raw", "name"),
     [
-        ("  @@FogLanTau1  ", "foglantau1"),
-        ("https://x.com/FogLanTau1/status/123", "foglantau1"),
-        ("x.com/FogLanTau1", "foglantau1"),
+        ("  @@SomeHandle1  ", "somehandle1"),
+        ("https://x.com/SomeHandle1/status/123", "somehandle1"),
+        ("x.com/SomeHandle1", "somehandle1"),
         ("https://x.com/", "https://x.com/"),
         ("　@Name　", "name"),
         ("", ""),

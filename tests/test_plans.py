@@ -3,7 +3,6 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from shutterlake.operators import filters, similarity
 from shutterlake.plans import near_duplicates, overview, pages

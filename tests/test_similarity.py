@@ -4,7 +4,6 @@ import random
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
 from shutterlake.functions.hashing import signed
 from shutterlake.operators import similarity as sim

@@ -94,7 +94,8 @@ active AS (SELECT parent AS work FROM rules WHERE tag = 'Triple' LIMIT 1)
 SELECT a.work, count(*) AS n_tags FROM active a JOIN tags t ON lower(t.name) <> lower(a.work) GROUP BY a.work""",
 )(
     lambda v: v.tags()
-    .join(tagging.active_work(v.rules(), None, "Triple"), F.lower("name") != F.lower("work"))
+    .withColumn("work", tagging.active_work(v.rules(), None, "Triple").scalar())
+    .filter(F.lower("name") != F.lower("work"))
     .groupBy("work")
     .agg(F.count(F.lit(1)).alias("n_tags"))
 )
