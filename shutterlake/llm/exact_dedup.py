@@ -89,7 +89,7 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     for batch, part in enumerate((keyed.filter(newer), keyed.filter(~newer))):
         index.admit(part, batch)
     sizes = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = sizes.join(index.rows().select("digest", "keep_id").hint("merge"), "digest")
+    groups = materialise(sizes.join(index.rows().select("digest", "keep_id").hint("merge"), "digest"), "groups")
     return keyed.join(groups.hint("merge"), "digest").select(
         "doc_id",
         "keep_id",

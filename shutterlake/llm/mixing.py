@@ -6,7 +6,7 @@ three fit.  The ratio of a cell's weight to its tokens is the rate of its docume
 rate, it is the probability with which each of them is sampled, so no document is taken twice.
 
 Only DataFrame functions are used.  There are at most as many cells as the product of the target tables'
-sizes (plus one row each for unlisted values), which is checked; sums over cells need one small task.
+sizes (plus one row each for unlisted values), which is checked; so sums over cells are windows in one small task, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import materialise
@@ -64,9 +65,9 @@ def listed(rows: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataF
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], sweeps: int = SWEEPS) -> DataFrame:
     """Cells (the dimensions, `tokens`) with `weight`: shares of the whole that fit the target shares.
 
-    Targets of a dimension need not add up to 1; shares of values that no cell has are spread over the
-    others in proportion.  A sweep scales each dimension once; targets that contradict each other or the empty cells
-    are met as nearly as the last sweep gets.
+    Cells of a value whose target is 0 or missing are left out.  Targets of a dimension need not add up to 1:
+    shares of values without cells are spread over the others in proportion.  A sweep scales each dimension
+    once; targets that contradict each other are met as nearly as the last sweep gets.
     """
     bound = 1
     for d in DIMENSIONS:
@@ -74,17 +75,21 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], sweeps: i
     if bound > MOST_CELLS:
         raise ValueError(f"target tables allow {bound} cells; at most {MOST_CELLS} are raked")
     spark = cells.sparkSession
-    now = cells.filter("tokens > 0").withColumn("weight", F.col("tokens").cast("double")).coalesce(1)
+    now = cells.filter("tokens > 0")
     for d in DIMENSIONS:
-        shares = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, _target_{d} double")
-        now = now.join(F.broadcast(shares), d, "left").fillna(0.0, [f"_target_{d}"])
-    for _ in range(sweeps):
+        shares = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items() if v > 0], f"{d} string, _share_{d} double")
+        now = now.join(F.broadcast(shares), d)
+    now = now.withColumn("weight", F.col("tokens").cast("double")).coalesce(1)
+    everything = W.partitionBy(F.lit(0))
+    for d in DIMENSIONS:
+        rows_of_value = F.count(F.lit(1)).over(W.partitionBy(d))
+        now = now.withColumn("_part", F.col(f"_share_{d}") / rows_of_value)
+        now = now.withColumn(f"_share_{d}", F.col(f"_share_{d}") / F.sum("_part").over(everything)).drop("_part")
+    for sweep in range(sweeps):
         for d in DIMENSIONS:
-            sums = now.groupBy(d).agg(F.sum("weight").alias("_sum"), F.first(f"_target_{d}").alias("_share"))
-            whole = sums.agg(F.sum(F.when(F.col("_sum") > 0, F.col("_share"))).alias("_whole"))
-            factor = sums.crossJoin(F.broadcast(whole)).select(d, F.when((F.col("_sum") > 0) & (F.col("_whole") > 0), F.col("_share") / F.col("_whole") / F.col("_sum")).otherwise(0.0).alias("_factor"))
-            now = now.join(F.broadcast(factor), d).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
-        now = materialise(now, "raked").coalesce(1)
+            now = now.withColumn("weight", F.col("weight") * F.col(f"_share_{d}") / F.sum("weight").over(W.partitionBy(d)))
+        if sweep % 4 == 3:
+            now = materialise(now, "raked").coalesce(1)
     return now.select(*DIMENSIONS, "tokens", "weight")
 
 
@@ -132,17 +137,15 @@ def _sql() -> str:
     names = ", ".join(f"CASE WHEN {d} IN (SELECT v FROM target_{d}) THEN {d} ELSE {quote(OTHER)} END AS in_{d}" for d in DIMENSIONS)
     out.append(f"keyed AS (SELECT *, {names} FROM rows0)")
     dims = ", ".join(f"in_{d}" for d in DIMENSIONS)
-    out.append(f"w0 AS (SELECT {dims}, CAST(sum(tokens) AS DOUBLE) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight FROM keyed GROUP BY {dims} HAVING sum(tokens) > 0)")
+    joins = " ".join(f"JOIN target_{d} t_{d} ON t_{d}.v = in_{d} AND t_{d}.share > 0" for d in DIMENSIONS)
+    shares = ", ".join(f"max(t_{d}.share) AS share_{d}" for d in DIMENSIONS)
+    out.append(f"base AS (SELECT {dims}, CAST(sum(tokens) AS DOUBLE) AS tokens, {shares} FROM keyed {joins} GROUP BY {dims} HAVING sum(tokens) > 0)")
+    whole = ", ".join(f"share_{d} / (SELECT sum(share) FROM target_{d} WHERE v IN (SELECT in_{d} FROM base)) AS share_{d}" for d in DIMENSIONS)
+    out.append(f"w0 AS MATERIALIZED (SELECT {dims}, tokens, tokens AS weight, {whole} FROM base)")
     k = 0
     for _ in range(SWEEPS):
         for d in DIMENSIONS:
-            out.append(
-                f"s{k + 1} AS MATERIALIZED (SELECT in_{d} AS v, sum(weight) AS total, coalesce(max(share), 0) AS share FROM w{k} LEFT JOIN target_{d} ON v = in_{d} GROUP BY in_{d})"
-            )
-            whole = f"(SELECT sum(share) FROM s{k + 1} WHERE total > 0)"
-            out.append(
-                f"w{k + 1} AS MATERIALIZED (SELECT {dims}, tokens, weight * CASE WHEN total > 0 AND {whole} > 0 THEN share / {whole} / total ELSE 0 END AS weight FROM w{k} JOIN s{k + 1} ON v = in_{d})"
-            )
+            out.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (weight * share_{d} / sum(weight) OVER (PARTITION BY in_{d}) AS weight) FROM w{k})")
             k += 1
     out.append(f"rates AS (SELECT {dims}, weight / tokens / (SELECT max(weight / tokens) FROM w{k}) AS p FROM w{k})")
     return (

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shutterlake.llm.common import table
 from shutterlake.llm.decontamination import contamination
 from shutterlake.llm.exact_dedup import OP9_SQL, exact_duplicates
 from shutterlake.llm.jaccard_join import near_duplicates
+from shutterlake.llm.language_id import language_held_out
 from shutterlake.llm.mixing import OP5_SQL, mixture
+from shutterlake.llm.suffix_dedup import repeated_spans
 from shutterlake.llm.toxicity import toxicity
 
 
@@ -26,6 +29,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_held_out(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -44,8 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op5_source_mixing": OP5_SQL, "op9_exact_dedup": OP9_SQL}
