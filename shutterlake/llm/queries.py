@@ -13,8 +13,19 @@ from shutterlake.llm.exact_dedup import OP9_SQL, exact_duplicates
 from shutterlake.llm.jaccard_join import near_duplicates
 from shutterlake.llm.language_id import language_held_out
 from shutterlake.llm.mixing import OP5_SQL, mixture
+from shutterlake.llm.secret_scan import digest, secrets
 from shutterlake.llm.suffix_dedup import repeated_spans
+from shutterlake.llm.token_counts import length_report
 from shutterlake.llm.toxicity import toxicity
+from shutterlake.llm.url_filter import judge
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secrets(table(spark, sf_dir, "documents")))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +40,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_report(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -53,9 +68,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
+    "op6_token_counts": op6_token_counts,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_exact_dedup": op9_exact_dedup,
