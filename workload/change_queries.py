@@ -808,26 +808,57 @@ TOTALS = """ SELECT account, CAST(sum(downloaded) AS BIGINT) AS downloaded,
   CAST(sum(failed) AS BIGINT) AS failed, bool_and(failed = 0) AS advance FROM judged GROUP BY account"""
 query("crawl_totals", CRAWLED + TOTALS)(lambda v: timeline.crawl_totals(_outcomes(v)))
 
-INGESTED = (
-    CRAWLED
-    + f""",
+# Feed of the ingest queries: sixth items without an id, seventh ones of a type that is not accepted; accounts
+# of which some are switched off and some want their full history; marks of earlier runs.
+ACTIVE = """,
+active AS (SELECT 'acct' || s_suppkey AS account, s_suppkey % 3 = 0 AS full_history FROM supplier WHERE s_suppkey % 7 <> 3),
+odd AS (SELECT * REPLACE (CASE WHEN content = 'item 6' THEN NULL ELSE tweet_id END AS tweet_id, CASE WHEN content = 'item 7' THEN 'text' ELSE type END AS type) FROM timeline)"""
+HEADS = """,
+heads AS (SELECT account, arg_min(tweet_id, pos) AS post_id, arg_min(date, pos) AS date FROM odd WHERE tweet_id IS NOT NULL GROUP BY account),
+unchanged AS (SELECT h.account FROM heads h JOIN known k ON k.account = h.account AND k.post_id = h.post_id WHERE k.date = '' OR h.date = '' OR k.date = h.date)"""
+NAMED = ", coalesce(o.tweet_id, 'undefined') AS tweet_id"
+WANTED = f""",
+wanted AS (SELECT o.* EXCLUDE (tweet_id){NAMED} FROM odd o JOIN active a ON a.account = o.account LEFT JOIN known k ON k.account = o.account
+  WHERE o.account NOT IN (SELECT account FROM unchanged) AND o.type <> 'text'
+  AND (a.full_history OR k.post_id IS NULL OR o.tweet_id IS NULL OR CAST(o.tweet_id AS HUGEINT) > CAST(k.post_id AS HUGEINT)))"""
+FIRST_WANTED = f""",
+wanted AS (SELECT o.* EXCLUDE (tweet_id){NAMED} FROM odd o JOIN active a ON a.account = o.account WHERE o.type <> 'text')"""
+FROM_WANTED = CRAWLED.replace("AS ext FROM timeline)", "AS ext FROM wanted)")
+BATCH = LATEST + ACTIVE + HEADS + WANTED + FROM_WANTED
+
+CANDIDATES = (
+    f""",
 nicks AS (SELECT account, coalesce(trim(arg_min(nick, pos) FILTER (WHERE trim(nick) <> '')), account) AS nick FROM tried GROUP BY account),
 files AS (SELECT t.account, t.tweet_id, string_agg(t.account || '_' || t.tweet_id || '_' || t.nn || t.ext, ',' ORDER BY t.nn) AS media_keys,
   arg_min(t.tweet_id || '_' || t.nn || t.ext, t.nn) AS first_file,
   count(*) FILTER (WHERE t.ext = '.png') AS photo_count, count(*) FILTER (WHERE t.ext = '.mp4') AS video_count,
   coalesce(sum(t.size) FILTER (WHERE t.ext = '.png'), 0) AS photo_bytes, coalesce(sum(t.size) FILTER (WHERE t.ext = '.mp4'), 0) AS video_bytes
   FROM tried t JOIN judged j USING (account, tweet_id) WHERE j.outcome = 'ready' AND t.status = 'downloaded' GROUP BY 1, 2),
-metas AS (SELECT account, tweet_id, arg_min(content, pos) AS description, arg_min(date, pos) AS date, trim(arg_min(nick, pos)) AS nick FROM tried GROUP BY 1, 2),
-candidates AS (SELECT f.*, m.description, m.date, coalesce(nullif(m.nick, ''), n.nick) AS nick, 'https://x.com/' || f.account || '/status/' || f.tweet_id AS post_url
+metas AS (SELECT account, tweet_id, CASE WHEN tweet_id = 'undefined' THEN '' ELSE arg_min(content, pos) END AS description,
+  CASE WHEN tweet_id = 'undefined' THEN '2024-01-05 12:30:00' ELSE arg_min(date, pos) END AS date, CASE WHEN tweet_id = 'undefined' THEN '' ELSE trim(arg_min(nick, pos)) END AS nick FROM tried GROUP BY 1, 2),
+candidates AS (SELECT f.*, m.description, m.date, coalesce(nullif(m.nick, ''), n.nick) AS nick, CASE WHEN f.tweet_id = 'undefined' THEN '' ELSE 'https://x.com/' || f.account || '/status/' || f.tweet_id END AS post_url
   FROM files f JOIN metas m USING (account, tweet_id) JOIN nicks n USING (account)),
 stored_posts AS (SELECT DISTINCT 'acct' || l_suppkey AS author, CASE WHEN l_linenumber = 1 THEN 'https://x.com/acct' || l_suppkey || '/status/' || (2039917506295648359 + 1000 * l_orderkey) ELSE '' END AS post_url,
     'acct' || l_suppkey || '_' || (2039917506295648359 + 1000 * l_orderkey) || '_1.mp4' AS key
   FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 45),
 fresh AS (SELECT c.* FROM candidates c WHERE post_url NOT IN (SELECT post_url FROM stored_posts WHERE post_url <> '')
-  AND NOT EXISTS (SELECT 1 FROM stored_posts s WHERE s.author = c.account AND contains(s.key, c.first_file)))"""
+  AND NOT EXISTS (SELECT 1 FROM stored_posts s WHERE s.author = c.account AND lower(s.key) LIKE '%' || lower(c.first_file) || '%'))"""
 )
 
 
+INGESTED = BATCH + CANDIDATES
+
+
+def _feed(items: DataFrame) -> DataFrame:
+    """Sixth items lose their id, seventh ones get a type that is not accepted."""
+    return items.withColumns(
+        {
+            "tweet_id": F.when(F.col("content") != "item 6", F.col("tweet_id")),
+            "type": F.when(F.col("content") == "item 7", "text").otherwise(F.col("type")),
+        }
+    )
+
+
 def _ingest_state(v: Views) -> ingest.IngestState:
     """Earlier posts: those of large returned items; half of them lost their URL."""
     li = v.table("lineitem").filter("l_linestatus = 'F' and l_quantity > 45")
@@ -841,10 +872,11 @@ def _ingest_state(v: Views) -> ingest.IngestState:
         F.array(F.concat(author, F.lit("_"), true_id, F.lit("_1.mp4"))).alias("media_keys"),
     )
     names = v.table("supplier").select(
-        F.concat(F.lit("Acct"), "s_suppkey").alias("username"), F.lit(1).alias("enabled"), F.lit(1).alias("crawl_all")
+        F.concat(F.lit("Acct"), "s_suppkey").alias("username"),
+        (F.col("s_suppkey") % 7 != 3).cast("int").alias("enabled"),
+        (F.col("s_suppkey") % 3 == 0).cast("int").alias("crawl_all"),
     )
-    none = _known(v).limit(0)
-    return ingest.IngestState(stored, v.tags(), _archive(v), none, names)
+    return ingest.IngestState(stored, v.tags(), _archive(v), _known(v), names)
 
 
 def _ingest_rules(v: Views) -> list[tagging.Rule]:
@@ -858,12 +890,12 @@ query(
     + f"""
 SELECT account AS author, '@' || account || ' 推文' AS title, nick AS author_display_name, post_url, description, date AS created_at, media_keys,
   photo_count, video_count, CAST(photo_bytes AS BIGINT) AS photo_bytes, CAST(video_bytes AS BIGINT) AS video_bytes, CAST(1 AS BIGINT) AS published,
-  description AS tag_name FROM fresh""",
+  nullif(description, '') AS tag_name FROM fresh""",
 )(lambda v: _ingested(v))
 
 
 def _ingested(v: Views) -> DataFrame:
-    items = v.timeline()
+    items = _feed(v.timeline())
     state = _ingest_state(v)
     new = ingest.ingest_pages(items, state, _fetched(v, items), _ingest_rules(v), NOW)
     names = state.tags.unionByName(new.tags).select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"))
@@ -887,13 +919,12 @@ def _ingested(v: Views) -> DataFrame:
 
 query(
     "ingest_marks",
-    CRAWLED
-    + """,
-latest AS (SELECT account, arg_min(tweet_id, pos) AS post_id, arg_min(date, pos) AS date FROM timeline GROUP BY account)
-SELECT account, post_id, date FROM latest WHERE account NOT IN (SELECT account FROM judged WHERE failed > 0)""",
+    BATCH
+    + """
+SELECT account, post_id, date FROM heads WHERE account IN (SELECT account FROM active) AND account NOT IN (SELECT account FROM judged WHERE failed > 0)""",
 )(
     lambda v: ingest.ingest_pages(
-        v.timeline(), _ingest_state(v), _fetched(v, v.timeline()), _ingest_rules(v), NOW
+        _feed(v.timeline()), _ingest_state(v), _fetched(v, v.timeline()), _ingest_rules(v), NOW
     ).marks
 )
 query(
@@ -917,11 +948,11 @@ def _json_records(v: Views) -> DataFrame:
 
 
 STREAMED = (
-    INGESTED[: INGESTED.index(""",
-stored_posts AS""")]
+    (ACTIVE + FIRST_WANTED + FROM_WANTED + CANDIDATES[: CANDIDATES.index(""",
+stored_posts AS""")])
     .replace("FROM part WHERE p_brand = 'Brand#3' AND p_size < 5", "FROM part WHERE false")
     + """
-SELECT account AS author, post_url, nick AS author_display_name, media_keys, photo_count, video_count, description AS tag_name FROM candidates"""
+SELECT account AS author, post_url, nick AS author_display_name, media_keys, photo_count, video_count, nullif(description, '') AS tag_name FROM candidates"""
 )
 query("ingest_stream", STREAMED)(lambda v: _ingest_stream(v))
 
@@ -940,7 +971,7 @@ def _ingest_stream(v: Views) -> DataFrame:
         lambda items: _fetched(v, items),
         _ingest_rules(v),
         now=lambda: NOW,
-        to_rows=Views.timeline_rows,
+        to_rows=lambda batch: _feed(Views.timeline_rows(batch)),
     ).awaitTermination()
     cat = ingest_stream_job.current_catalogue(log)
     names = cat.tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"))
@@ -952,8 +983,9 @@ def _ingest_stream(v: Views) -> DataFrame:
 
 query(
     "known_names",
-    INGESTED
-    + " SELECT c.account, c.tweet_id FROM candidates c WHERE EXISTS (SELECT 1 FROM stored_posts s WHERE s.author = c.account AND contains(s.key, c.first_file))",
+    CRAWLED
+    + CANDIDATES
+    + " SELECT c.account, c.tweet_id FROM candidates c WHERE EXISTS (SELECT 1 FROM stored_posts s WHERE s.author = c.account AND lower(s.key) LIKE '%' || lower(c.first_file) || '%')",
 )(lambda v: _known_names(v))
 
 
