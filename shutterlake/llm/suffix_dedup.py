@@ -6,9 +6,9 @@ would need every place of the corpus at once, so most are settled before:
 1. Anchors.  In every string of 400 bytes the place with the least hash of its next 64 bytes is an anchor
    (ties: all of them).  Equal strings have equal anchors, so a string none of whose anchors occurs
    again does not repeat.  About one place in 170 is an anchor.
-2. Cover sample.  Of the strings that are left, places whose position modulo 183 is in a difference cover are
-   ranked by the 218 bytes that follow (only equality of ranks matters here).  For any two positions a shift
-   below 183 moves both onto the cover; so two equal strings hold, at the same offset, two sample places of
+2. Cover sample.  Of the strings that are left, places whose position modulo 73 is in a difference cover are
+   ranked by the 328 bytes that follow (only equality of ranks matters here).  For any two positions a shift
+   below 73 moves both onto the cover; so two equal strings hold, at the same offset, two sample places of
    equal rank, and a string without a repeated rank does not repeat.
 3. Suffix buckets.  The suffixes that are left are dealt into buckets by a 64-bit fingerprint of their 400
    bytes and every bucket is sorted by it, one at a time in a task; equal neighbours repeat.
@@ -31,9 +31,9 @@ from shutterlake.llm.common import Rolling, documents, materialise, repeated_key
 
 LENGTH = 400
 ANCHOR = 64
-PERIOD = 183
-# A perfect difference set modulo 183; every other residue is a difference of two of them once.
-COVER = (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
+PERIOD = 73
+# A perfect difference set modulo 73; every other residue is a difference of two of them once.
+COVER = (0, 1, 3, 7, 15, 31, 36, 54, 63)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
