@@ -174,13 +174,14 @@ _FLUSH = 1 << 21
 def repeated_keys(rows: DataFrame, emit: Emit, counts: bool = False) -> DataFrame:
     """Which of the keys that `emit` finds in each batch occur more than once over all rows.
 
-    `emit(batch)` yields (doc_id int64, position uint32, key uint64) arrays.  Result: `doc_id`, `found`
-    (packed uint32 positions whose key occurs again anywhere, another row or the same), several rows for a
-    document; with `counts`, `n` instead: how many there are, one row for a document.
+    `emit(batch)` yields (doc_id int64, position uint32, key uint64) arrays.  Result: `doc_id` and `found`
+    (packed uint32 positions whose key occurs again anywhere, another row or the same), one row for a
+    document that has such; with `counts`, `n` instead: how many there are.
 
     Keys are dealt by value to as many buckets as `spark.sql.shuffle.partitions`, in packed blocks.  A
     key that occurs again within a run of rows is known to repeat at once: one of its places goes to the
-    bucket for the others' sake, so a hot key sends one place per run and not one per row.
+    bucket for the others' sake, so a hot key sends one place per run and not one per row.  What is found
+    goes back in blocks dealt by doc_id.
     """
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -249,14 +250,23 @@ def repeated_keys(rows: DataFrame, emit: Emit, counts: bool = False) -> DataFram
             places.append(p[chosen])
         i = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         p = np.concatenate(places) if places else np.zeros(0, np.uint32)
+        target = (mix(i.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(target, kind="stable")
+        i, p, target = i[order], p[order], target[order]
+        edge = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1], [True]])) if len(i) else np.zeros(1, int)
+        blobs = [pack(i[a:b], p[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.table([pa.array(target[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def gather(group: pa.Table) -> pa.Table:
+        i, p = (np.concatenate(x) for x in zip(*(unpack(b.as_py(), np.int64, np.uint32) for b in group["blob"]), strict=True))
         order = np.lexsort((p, i))
         i, p = i[order], p[order]
-        edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else np.zeros(1, int)
+        edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]]))
         names = pa.array(i[edge[:-1]], pa.int64())
         if counts:
             return pa.table([names, pa.array(np.diff(edge), pa.int64())], ["doc_id", "n"])
         return pa.table([names, pa.array([pack(p[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["doc_id", "found"])
 
     blocks = rows.mapInArrow(deal, "bucket int, kind int, blob binary")
-    found = blocks.groupBy("bucket").applyInArrow(settle, "doc_id long, n long" if counts else "doc_id long, found binary")
-    return found.groupBy("doc_id").agg(F.sum("n").alias("n")) if counts else found
+    settled = blocks.groupBy("bucket").applyInArrow(settle, "bucket int, blob binary")
+    return settled.groupBy("bucket").applyInArrow(gather, "doc_id long, n long" if counts else "doc_id long, found binary")

@@ -75,14 +75,12 @@ def anchor_keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield ids[lo:hi][doc], chosen - at[doc], h[chosen]
 
 
-def starts_near(found: list, before: int, n: int) -> np.ndarray:
+def starts_near(found: bytes, before: int, n: int) -> np.ndarray:
     """Mask of the starts of strings of LENGTH in a text of `n` bytes, of which a found place is at most `before` behind."""
     change = np.zeros(n + 2, np.int32)
-    for blob in found:
-        (place,) = unpack(blob, np.uint32)
-        place = place.astype(np.int64)
-        np.add.at(change, np.maximum(place - before, 0), 1)
-        np.add.at(change, np.minimum(place, n) + 1, -1)
+    place = unpack(found, np.uint32)[0].astype(np.int64)
+    np.add.at(change, np.maximum(place - before, 0), 1)
+    np.add.at(change, np.minimum(place, n) + 1, -1)
     return np.cumsum(change[: max(n - LENGTH + 1, 0)]) > 0
 
 
@@ -116,8 +114,8 @@ def suffix_keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def narrowed(texts: DataFrame, found: DataFrame, label: str) -> DataFrame:
-    """The texts with a found place, with all their places (at most one packed list from each bucket)."""
-    places = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("found").alias("found"))
+    """The texts with a found place, with all their places."""
+    places = found.select(F.col("doc_id").alias("_id"), "found")
     joined = texts.join(places.hint("merge"), texts["doc_id"] == places["_id"])
     return materialise(joined.select("doc_id", "text", places["found"]), label)
 
@@ -129,10 +127,9 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, text in zip(batch.column("found"), batch.column("text"), strict=True):
             data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
             change = np.zeros(len(data) + 1, np.int32)
-            for blob in found.as_py():
-                place = unpack(blob, np.uint32)[0].astype(np.int64)
-                np.add.at(change, place, 1)
-                np.add.at(change, place + LENGTH, -1)
+            place = unpack(found.as_py(), np.uint32)[0].astype(np.int64)
+            np.add.at(change, place, 1)
+            np.add.at(change, place + LENGTH, -1)
             covered = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
             edge = np.flatnonzero(covered[1:] != covered[:-1])
             n_removed.append(int(covered.sum()))
