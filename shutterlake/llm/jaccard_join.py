@@ -4,8 +4,9 @@ Jaccard distance is a metric, so a set x within eps of y obeys |d(x, p) - d(y, p
 
 1. Documents with equal sets form one class; its least doc_id stands for it.
 2. A set can only have a partner if all but (1 - threshold) of its shingles occur elsewhere.  That is
-   tested on a quarter of the shingles, chosen by hash: a set that misses more of them than it may miss of
-   all of them is out.  No set with a partner is lost.
+   tested on a quarter of the shingles first, chosen by hash: a set that misses more of them than it may
+   miss of all of them is out.  Of the sets that are left, all shingles are tested, again and again while the
+   sets that go leave others alone.  No set with a partner is lost.
 3. Pivots split the rest into Voronoi regions.  A set lives in the region of its nearest pivot and is
    copied to every region whose pivot is at most 2 eps farther; then each pair meets where one of the two
    lives.  Any function that changes by at most d(x, y) may stand for a pivot's distance: the constant
@@ -48,7 +49,7 @@ class Join:
     percent: int = 85
     k: int = 4
     pivots: int = 8192
-    pivot_items: int = 4_000_000
+    pivot_items: int = 1_500_000
     region_weight: int = 4_000_000
 
     @property
@@ -125,6 +126,26 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SET)
 
 
+def all_keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for i, items in zip(batch.column("doc_id").to_pylist(), batch.column("items"), strict=True):
+        keys = np.frombuffer(items.as_py(), np.uint64)
+        yield np.full(len(keys), i), np.zeros(len(keys), np.uint32), keys
+
+
+def with_shared_items(sets: DataFrame, p: Join) -> DataFrame:
+    """The sets of which enough items occur in other sets of the result; rounds end when few sets go."""
+    before = sets.count()
+    while before:
+        shared = repeated_keys(sets.select("doc_id", "items"), all_keys, counts=True).select(F.col("doc_id").alias("_id"), F.col("n").alias("_shared"))
+        enough = 100 * (F.col("n") - F.col("_shared")) <= (100 - p.percent) * F.col("n")
+        sets = materialise(sets.join(shared.hint("merge"), F.col("doc_id") == F.col("_id")).filter(enough).select("doc_id", "n", "items"), "sets")
+        after = sets.count()
+        if after > 0.9 * before:
+            break
+        before = after
+    return sets
+
+
 class Postings:
     """Overlaps of any set with each of a list of sets."""
 
@@ -137,14 +158,24 @@ class Postings:
         self.first = np.append(self.first, len(items))
         self.owner = owner[order]
 
-    def overlaps(self, items: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(self.size), np.int64)
-        at = np.searchsorted(self.keys, items)
-        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == items)]
+    def pairs(self, items: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, set, overlap) for all overlaps of the owners' items with the sets, in order; owners count from 0."""
+        if not len(self.keys) or not len(items):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, items), len(self.keys) - 1)
+        hit = self.keys[at] == items
+        at, owner = at[hit], owner[hit]
         lo, n = self.first[at], self.first[at + 1] - self.first[at]
         where = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.owner[where], minlength=len(self.size))
+        grid = np.bincount(np.repeat(owner, n) * len(self.size) + self.owner[where])
+        pair = np.flatnonzero(grid)
+        return pair // len(self.size), pair % len(self.size), grid[pair]
+
+    def overlaps(self, items: np.ndarray) -> np.ndarray:
+        _, other, overlap = self.pairs(items, np.zeros(len(items), np.int64))
+        out = np.zeros(len(self.size), np.int64)
+        out[other] = overlap
+        return out
 
 
 def distances(overlap: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
@@ -152,7 +183,10 @@ def distances(overlap: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
 
 
 def spread_pivots(sets: DataFrame, p: Join) -> list[tuple[int, np.ndarray]]:
-    """Some sets of the table, by hash of doc_id, of which no two are within RADIUS."""
+    """Some sets of the table, by hash of doc_id, of which no two are within RADIUS.
+
+    Later rounds take them from sets that live in the outer region, so each round empties it further.
+    """
     sizes = sets.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.pivots).select("doc_id", "n").collect()
     total, chosen = 0, []
     for row in sizes:
@@ -171,38 +205,48 @@ def spread_pivots(sets: DataFrame, p: Join) -> list[tuple[int, np.ndarray]]:
     return [x for x, t in zip(found, taken, strict=True) if t]
 
 
+ROWS = 256  # sets compared with the pivots at a time
+
+
 def regions(sets: DataFrame, pivots: list[tuple[int, np.ndarray]], p: Join) -> DataFrame:
     """Each set once for every region it belongs to: `cell` (-1: outer), `home`, `ball` (linked with the pivot)."""
     sent = sets.sparkSession.sparkContext.broadcast(pivots)
     eps, percent = p.eps, p.percent
 
+    def place(n: np.ndarray, items: list[np.ndarray], names: np.ndarray, postings: Postings) -> tuple:
+        rows = np.arange(len(n))
+        row, pivot, overlap = postings.pairs(np.concatenate(items), np.repeat(rows, n))
+        union = n[row] + postings.size[pivot] - overlap
+        d = 1.0 - overlap / union
+        best = np.ones(len(n))
+        np.minimum.at(best, row, d)
+        limit = np.minimum(best, RADIUS) + 2 * eps + SLACK
+        inside = d <= limit[row]
+        first = np.full(len(n), -1, np.int64)  # the nearest pivot, of equals the first
+        nearest = np.flatnonzero((d == best[row]) & (d <= RADIUS))[::-1]
+        first[row[nearest]] = pivot[nearest]
+        outer = rows[limit >= RADIUS]
+        return (
+            np.concatenate([row[inside], outer]),
+            np.concatenate([names[pivot[inside]], np.full(len(outer), -1, np.int64)]),
+            np.concatenate([pivot[inside] == first[row[inside]], first[outer] == -1]),
+            np.concatenate([(100 * overlap >= percent * union)[inside], np.zeros(len(outer), bool)]),
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([i for i, _ in sent.value], np.int64)
         postings = Postings([s for _, s in sent.value])
         for batch in batches:
-            row, cell, home, ball = [], [], [], []
-            for r, (n, items) in enumerate(zip(batch.column("n").to_pylist(), batch.column("items"), strict=True)):
-                overlap = postings.overlaps(np.frombuffer(items.as_py(), np.uint64))
-                near = np.flatnonzero(overlap)
-                d = distances(overlap[near], n, postings.size[near])
-                best = d.min() if len(d) else 1.0
-                limit = min(best, RADIUS) + 2 * eps + SLACK
-                inside = np.flatnonzero(d <= limit)
-                own = near[int(d.argmin())] if len(d) and best <= RADIUS else -1
-                for c in near[inside]:
-                    row.append(r)
-                    cell.append(int(names[c]))
-                    home.append(bool(c == own))
-                    ball.append(bool(100 * overlap[c] >= percent * (n + postings.size[c] - overlap[c])))
-                if limit >= RADIUS:
-                    row.append(r)
-                    cell.append(-1)
-                    home.append(own == -1)
-                    ball.append(False)
-            out = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), pa.array(ball, pa.bool_())], ["doc_id", "n", "items", "cell", "home", "ball"])
-
-    return sets.select("doc_id", "n", "items").mapInArrow(run, SET + ", cell long, home boolean, ball boolean")
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                items = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("items")]
+                row, cell, home, ball = place(part.column("n").to_numpy(), items, names, postings)
+                out = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell), pa.array(home), pa.array(ball)], ["doc_id", "n", "items", "cell", "home", "ball"])
+
+    placed = materialise(sets.select("doc_id", "n", "items").mapInArrow(run, SET + ", cell long, home boolean, ball boolean"), "regions")
+    sent.destroy()
+    return placed
 
 
 def join_block(percent: int):
@@ -262,20 +306,20 @@ def links(sets: DataFrame, p: Join = Join()) -> DataFrame:
     `sets`: doc_id, n, items (distinct uint64 hashes), doc_id unique.  Every row (src, dst) is a chain of
     links of the join, mostly one.
     """
-    found, remaining = None, sets
+    found, remaining = None, sets.withColumn("home", F.lit(True))
     while True:
         load = remaining.agg(F.coalesce(F.sum(F.col("n") + DOC_WEIGHT), F.lit(0))).first()[0]
         if load <= p.region_weight:
             placed = remaining.select("doc_id", "n", "items", F.lit(-1).cast("long").alias("cell"), F.lit(False).alias("ball"))
             last = region_links(placed, p)
             return found.unionByName(last) if found is not None else last
-        placed = materialise(regions(remaining, spread_pivots(remaining, p), p), "regions")
+        placed = regions(remaining, spread_pivots(remaining.filter("home"), p), p)
         inner = materialise(region_links(placed.filter("cell >= 0"), p), "links")
         found = inner if found is None else found.unionByName(inner)
         outer = placed.filter("cell = -1")
         if outer.filter("home").limit(1).count() == 0:
             return found
-        remaining = outer.select("doc_id", "n", "items")
+        remaining = outer.select("doc_id", "n", "items", "home")
 
 
 def near_duplicates(docs: DataFrame, p: Join = Join()) -> DataFrame:
@@ -297,7 +341,7 @@ def near_duplicates(docs: DataFrame, p: Join = Join()) -> DataFrame:
         .select("rep")
     )
     kept = whole.join(able.hint("merge"), F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id"])
-    sets = materialise(full_sets(kept, p.k), "sets")
+    sets = with_shared_items(materialise(full_sets(kept, p.k), "sets"), p)
     edges = materialise(links(sets, p), "links")
     member = connected_components(edges).withColumnRenamed("node", "rep")
     roots = classes.join(member, "rep", "left").select("print", F.coalesce("component", "rep").alias("_root"))
