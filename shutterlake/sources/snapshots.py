@@ -46,10 +46,12 @@ class _Store:
     def _write(self, number: int, tables: Mapping[str, DataFrame]) -> None:
         if set(tables) != set(self.schemas):
             raise ValueError(f"exactly these tables are written together: {sorted(self.schemas)}")
+        # Written again, a folder is incomplete until its new marker stands.
+        fs, marker = self._fs(f"{self._folder(number)}/{MARKER}")
+        fs.delete(marker, False)
         for name, df in tables.items():
             columns = [F.col(f.name).cast(f.dataType) for f in self.schemas[name].fields]
             df.select(*columns).write.mode("overwrite").parquet(f"{self._folder(number)}/{name}")
-        fs, marker = self._fs(f"{self._folder(number)}/{MARKER}")
         fs.create(marker, True).close()
 
     def _empty(self, table: str) -> DataFrame:
