@@ -45,13 +45,18 @@ class Lsh:
 
 
 class Items:
-    """The walks' keys of a block of items, by band of length."""
+    """The walks' keys of a block of items, by band of length; bitmaps of them are made where they are used."""
+
+    marks: list | None = None
+
+    def bitmaps(self) -> list[list[tuple[np.uint64, np.ndarray]]]:
+        if self.marks is None:
+            self.marks = [[bits_of(keys) for keys, _ in tables] for *_, tables in self.bands]
+        return self.marks
 
     def __init__(self, ids: list, hashes: list[np.ndarray], p: Lsh):
         self.p, self.ids, self.hashes = p, ids, hashes
-        self.vocabulary = np.zeros(1 << 20, bool)
-        for h in hashes:
-            self.vocabulary[h >> np.uint64(44)] = True
+        self.shift, self.vocabulary = bits_of(np.unique(np.concatenate(hashes)))
         rng = np.random.default_rng(11)
         self.bands = []
         by_length = sorted(range(len(ids)), key=lambda i: len(hashes[i]))
@@ -68,15 +73,17 @@ class Items:
             for plan in plans:
                 for keys in walk(flat, start, start + length, plan):
                     order = np.argsort(keys, kind="stable")
-                    tables.append((keys[order], np.array(group)[order], bits_of(keys)))
+                    tables.append((keys[order], np.array(group)[order]))
             self.bands.append((size, [budget(len(hashes[i]), p) for i in group], plans, tables))
 
 
-def bits_of(keys: np.ndarray) -> np.ndarray:
-    """A bitmap of 2^20 of the keys' first bits: most keys that are not among them are told at once."""
-    mark = np.zeros(1 << 20, bool)
-    mark[keys >> np.uint64(44)] = True
-    return mark
+def bits_of(keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """A bitmap of the keys' first bits, 64 for each key: other keys are mostly told by it at once."""
+    bits = max(12, int(64 * len(keys)).bit_length())
+    shift = np.uint64(64 - bits)
+    mark = np.zeros(1 << bits, bool)
+    mark[keys >> shift] = True
+    return shift, mark
 
 
 def budget(n_words: int, p: Lsh) -> int:
@@ -152,9 +159,9 @@ def find(data: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple[int,
     h = Rolling(data).spans(starts, ends)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     last = first[doc + 1]
-    known = np.concatenate([np.zeros(1, np.int64), np.cumsum(items.vocabulary[h >> np.uint64(44)])])
+    known = np.concatenate([np.zeros(1, np.int64), np.cumsum(items.vocabulary[h >> items.shift])])
     found: set[tuple[int, int]] = set()
-    for size, budgets, plans, tables in items.bands:
+    for (size, budgets, plans, tables), marks in zip(items.bands, items.bitmaps(), strict=True):
         most = max(budgets)
         begin = np.arange(len(h))
         end = np.minimum(begin + size, last)
@@ -165,9 +172,9 @@ def find(data: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple[int,
         k = 0
         for plan in plans:
             for keys in walk(h, begin, stop, plan):
-                sorted_keys, owner, mark = tables[k]
+                (sorted_keys, owner), (shift, mark) = tables[k], marks[k]
                 k += 1
-                hit = np.flatnonzero(mark[keys >> np.uint64(44)])
+                hit = np.flatnonzero(mark[keys >> shift])
                 lo, hi = np.searchsorted(sorted_keys, keys[hit], "left"), np.searchsorted(sorted_keys, keys[hit], "right")
                 n = hi - lo
                 item = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
