@@ -356,3 +356,22 @@ def drop_near_duplicates(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """The documents without those that are not the least of their component; rows without doc_id stay."""
     gone = near_duplicates(docs, p).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM split),
+fours AS (SELECT doc_id, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p AS item
+  FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, item FROM fours WHERE item IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM split WHERE len(w) BETWEEN 1 AND 3),
+sets AS MATERIALIZED (SELECT d.doc_id, count(g.item) AS n FROM documents d LEFT JOIN grams g ON g.doc_id = d.doc_id GROUP BY d.doc_id),
+shared AS MATERIALIZED (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n FROM grams a JOIN grams b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT i, j FROM shared s JOIN sets x ON x.doc_id = i JOIN sets y ON y.doc_id = j WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+both_ways AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, b.j FROM reached r JOIN both_ways b ON b.i = r.other)
+SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import table
 from shutterlake.llm.decontamination import contamination
 from shutterlake.llm.exact_dedup import OP9_SQL, exact_duplicates
-from shutterlake.llm.jaccard_join import near_duplicates
+from shutterlake.llm.jaccard_join import OP8_SQL, near_duplicates
 from shutterlake.llm.language_id import language_held_out
 from shutterlake.llm.mixing import OP5_SQL, mixture
 from shutterlake.llm.secret_scan import digest, secrets
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op5_source_mixing": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_source_mixing": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_exact_dedup": OP9_SQL}
