@@ -179,6 +179,43 @@ def test_names_in_keys(spark):
     assert sorted(r.ref for r in ingest.names_in_keys(new, posts).collect()) == ["1", "2"]
 
 
+def test_names_in_keys_follow_like(spark):
+    names = [("1", "a", "123_1.JPG"), ("2", "a", "12_4_1.jpg"), ("3", "b", "123_1.jpg"), ("4", "a", "___"), ("5", "c", "____"), ("6", "a", "4_1.jpg")]
+    new = spark.createDataFrame(names, "ref string, author string, name string")
+    posts = spark.createDataFrame([("a", ["x_123_1.jpg"]), ("b", ["x_1234.jpg"]), ("c", ["abc"])], "author string, media_keys array<string>")
+    found = ingest.names_in_keys(new, posts)
+    # An underscore is any character, letters of ASCII are equal in either case.
+    assert sorted(r.ref for r in found.collect()) == ["1", "4"]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_without_id_are_one_post_and_do_not_block(spark):
+    rows = [("ann", 0, "100", "https://h/m/0", "photo", "2024-01-01", "hello", "N"), ("ann", 1, None, "https://h/m/1", "photo", "no date", "text", "M"), ("ann", 2, "x7", "https://h/m/2", "photo", "no date", "t", "M")]
+    items = spark.createDataFrame(rows, "account string, pos long, tweet_id string, url string, type string, date string, content string, nick string")
+    accounts = spark.createDataFrame([(1, "ann", 1, 1, None, None, None, 0, None, None)], ACCOUNTS)
+    fetched = items.select("url", F.lit(5).cast("long").alias("size"), F.lit(True).alias("ok"))
+    none = spark.createDataFrame([], "account string, post_id string, date string")
+    empty = ingest.IngestState(
+        spark.createDataFrame([], POSTS), spark.createDataFrame([], "id long, name string"), spark.createDataFrame([], "media_id string"), none, accounts
+    )
+    new = ingest.ingest_pages(items, empty, fetched, [], NOW)
+    report = new.report.first()
+    assert (report.uploaded, report.failed, report.advance) == (3, 0, True)
+    posts = {r.media_keys[0]: r for r in new.posts.collect()}
+    assert set(posts) == {"ann_100_1.jpg", "ann_undefined_1.jpg", "ann_x7_1.jpg"}
+    plain = posts["ann_undefined_1.jpg"]
+    assert (plain.post_url, plain.description, plain.created_at, plain.author_display_name) == ("", "", NOW.replace(tzinfo=None), "N")
+
+
+def test_marks_compare_ids_of_any_length(spark):
+    from shutterlake.operators.timeline import newer_than_known
+
+    big = "9" * 45
+    items = spark.createDataFrame([("a", big, ""), ("a", "1" + "0" * 45, ""), ("a", "0009", ""), ("b", "7", "")], "account string, tweet_id string, date string")
+    marks = spark.createDataFrame([("a", big, "")], "account string, post_id string, date string")
+    assert sorted(r.tweet_id for r in newer_than_known(items, marks).collect()) == ["1" + "0" * 45, "7"]
+
+
 def test_like_log_survives_replay(spark, tmp_path):
     posts = spark.createDataFrame([(1, 0), (2, 5)], "id long, likes long")
     log = likes.like_log(spark, str(tmp_path / "log"))
