@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import Rolling, documents, materialise, repeated_keys, text_chunks, unpack
+from shutterlake.session import drop_path, fresh_path
 
 LENGTH = 400
 ANCHOR = 64
@@ -113,11 +114,14 @@ def suffix_keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
                 yield np.full(len(place), ids[lo + t]), place, rolling.spans(place + at[t], place + at[t] + LENGTH)
 
 
-def narrowed(texts: DataFrame, found: DataFrame, label: str) -> DataFrame:
-    """The texts with a found place, with all their places."""
+def narrowed(texts: DataFrame, found: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The texts with a found place, with all their places, and the folder they are written to."""
     places = found.select(F.col("doc_id").alias("_id"), "found")
     joined = texts.join(places.hint("merge"), texts["doc_id"] == places["_id"])
-    return materialise(joined.select("doc_id", "text", places["found"]), label)
+    kept = joined.select("doc_id", "text", places["found"])
+    path = fresh_path(texts.sparkSession, label)
+    kept.write.parquet(path)
+    return texts.sparkSession.read.schema(kept.schema).parquet(path), path
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +160,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     groups = materialise(long.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "groups")
     able = whole.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     seen = repeated_keys(able, anchor_keys).join(groups.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id")
-    texts = narrowed(able.dropDuplicates(["doc_id"]) if _ids_repeat(long) else able, seen, "anchored")
-    ranked = narrowed(texts.drop("found"), repeated_keys(texts, cover_keys), "ranked")
-    cut = narrowed(ranked.drop("found"), repeated_keys(ranked, suffix_keys), "cut").mapInArrow(removed, REMOVED)
-    lost = materialise(cut.withColumnRenamed("doc_id", "_cut"), "lost")
+    spark = docs.sparkSession
+    texts, anchored = narrowed(able.dropDuplicates(["doc_id"]) if _ids_repeat(long) else able, seen, "anchored")
+    # Each step's texts go as soon as the next step's are written.
+    texts, ranked = narrowed(texts.drop("found"), repeated_keys(texts, cover_keys), "ranked")
+    drop_path(spark, anchored)
+    texts, cut = narrowed(texts.drop("found"), repeated_keys(texts, suffix_keys), "cut")
+    drop_path(spark, ranked)
+    lost = materialise(texts.mapInArrow(removed, REMOVED).withColumnRenamed("doc_id", "_cut"), "lost")
+    drop_path(spark, cut)
     copies = groups.filter("size > 1").select("digest", F.lit(True).alias("_copy"))
     marked = keyed.join(copies.hint("merge"), "digest", "left").join(lost.hint("merge"), F.col("doc_id") == F.col("_cut"), "left")
     copy = F.col("_copy").isNotNull() & F.col("doc_id").isNotNull()
