@@ -3,18 +3,17 @@
 Items and documents are word sequences (runs of letters and digits, A-Z lower-cased).  A window of a
 document as long as an item matches it within `max_edit` times the item's words of word edit distance.
 
+* An item that may have e edits is cut into e + 1 pieces of equal length.  An edit touches one piece at most, so
+  every passage within e edits of the item holds one of its pieces unchanged.
 * CGK embedding (Chakraborty, Goldenberg, Koucky, 2016): a random walk reads a sequence, at each step
   copying the word under its pointer and moving on by a random bit that depends on the step and the word.
-  Sequences at a small edit distance get strings at a small Hamming distance, as walks that fall out of
-  step meet again.
-* Bit-sampling LSH: a few steps of the walk, drawn at random, are a window's key.  Windows are walked from
-  every word of every document, with several walks and several draws of each; a window whose key is one of
-  an item's keys is a candidate.  `walks` x `draws` repetitions reach the recall of 0.9 that the tests
-  measure against brute force at the largest distance allowed.
+* Bit-sampling LSH: a few steps of the walk, drawn at random, are a key.  Windows as long as a piece are walked
+  from every word of every document; a window whose key is one of the pieces' keys makes a candidate.  Equal words
+  give equal walks, so the unchanged piece is found whatever steps are drawn: recall is 1 for items of every
+  length.  More steps only make fewer candidates that fail.
 * A candidate is verified by its exact edit distance to the item, over all spans around the window.
 
-Before walking, windows are dropped of which too many words occur in no item: that bounds the edit distance
-from below, so no match is lost.
+Windows with a word that no item has are not walked: they equal no piece.
 """
 
 from __future__ import annotations
@@ -33,48 +32,45 @@ from shutterlake.llm.common import LOWER, WORDLIKE, Rolling, documents, mix, tex
 
 @dataclass(frozen=True)
 class Lsh:
-    """`block`: items broadcast at a time (a text each); `min_words`: shorter items are no evidence of a leak."""
+    """`bits`: steps of a walk that make a key; `block`: items broadcast at a time (a text each); `min_words`: shorter items are no evidence of a leak."""
 
     max_edit: float = 0.15
-    walks: int = 2
-    draws: int = 12
-    bits: int = 3
+    bits: int = 8
     min_words: int = 8
-    band: float = 1.15
     block: int = 20_000
 
 
 class Items:
-    """The walks' keys of a block of items, by band of length; bitmaps of them are made where they are used."""
+    """The keys of a block of items' pieces, by length of piece; bitmaps of them are made where they are used."""
 
     marks: list | None = None
 
-    def bitmaps(self) -> list[list[tuple[np.uint64, np.ndarray]]]:
+    def bitmaps(self) -> list[tuple[np.uint64, np.ndarray]]:
         if self.marks is None:
-            self.marks = [[bits_of(keys) for keys, _ in tables] for *_, tables in self.bands]
+            self.marks = [bits_of(keys) for *_, keys, _, _ in self.bands]
         return self.marks
 
     def __init__(self, ids: list, hashes: list[np.ndarray], p: Lsh):
         self.p, self.ids, self.hashes = p, ids, hashes
         self.shift, self.vocabulary = bits_of(np.unique(np.concatenate(hashes)))
         rng = np.random.default_rng(11)
+        length = np.array([len(h) for h in hashes])
+        pieces = np.array([budget(n, p) + 1 for n in length.tolist()])
+        sizes = np.maximum(length // pieces, 1)
+        before = np.cumsum(length) - length
+        flat = np.concatenate(hashes)
         self.bands = []
-        by_length = sorted(range(len(ids)), key=lambda i: len(hashes[i]))
-        while by_length:
-            size = len(hashes[by_length[0]])
-            group = [i for i in by_length if len(hashes[i]) <= size * p.band]
-            by_length = by_length[len(group) :]
-            steps = max(2, int(1.5 * size))
-            plans = [(int(rng.integers(1, 2**63)), [np.sort(rng.choice(steps, p.bits, replace=False)) for _ in range(p.draws)]) for _ in range(p.walks)]
-            flat = np.concatenate([np.concatenate([hashes[i], np.zeros(1, np.uint64)]) for i in group])
-            length = np.array([len(hashes[i]) for i in group])
-            start = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
-            tables = []
-            for plan in plans:
-                for keys in walk(flat, start, start + length, plan):
-                    order = np.argsort(keys, kind="stable")
-                    tables.append((keys[order], np.array(group)[order]))
-            self.bands.append((size, [budget(len(hashes[i]), p) for i in group], plans, tables))
+        for size in np.unique(sizes).tolist():
+            group = np.flatnonzero(sizes == size)
+            n = np.minimum(pieces[group], length[group])
+            owner = np.repeat(group, n)
+            offset = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * size
+            steps = 2 * size
+            plan = (int(rng.integers(1, 2**63)), [np.sort(rng.choice(steps, min(p.bits, steps), replace=False))])
+            start = before[owner] + offset
+            keys = walk(flat, start, start + size, plan)[0]
+            order = np.argsort(keys, kind="stable")
+            self.bands.append((size, plan, keys[order], owner[order], offset[order]))
 
 
 def bits_of(keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
@@ -160,42 +156,37 @@ def find(data: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple[int,
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     last = first[doc + 1]
     known = np.concatenate([np.zeros(1, np.int64), np.cumsum(items.vocabulary[h >> items.shift])])
-    found: set[tuple[int, int]] = set()
-    for (size, budgets, plans, tables), marks in zip(items.bands, items.bitmaps(), strict=True):
-        most = max(budgets)
+    found = []
+    for (size, plan, table, owner, offset), (shift, mark) in zip(items.bands, items.bitmaps(), strict=True):
         begin = np.arange(len(h))
         end = np.minimum(begin + size, last)
-        begin = begin[(known[end] - known[begin] >= size - most)]
+        begin = begin[(known[end] - known[begin] == size)]
         if not len(begin):
             continue
-        stop = np.minimum(begin + int(size * items.p.band), last[begin])
-        k = 0
-        for plan in plans:
-            for keys in walk(h, begin, stop, plan):
-                (sorted_keys, owner), (shift, mark) = tables[k], marks[k]
-                k += 1
-                hit = np.flatnonzero(mark[keys >> shift])
-                lo, hi = np.searchsorted(sorted_keys, keys[hit], "left"), np.searchsorted(sorted_keys, keys[hit], "right")
-                n = hi - lo
-                item = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                found.update(zip(np.repeat(begin[hit], n).tolist(), item.tolist(), strict=True))
+        keys = walk(h, begin, begin + size, plan)[0]
+        hit = np.flatnonzero(mark[keys >> shift])
+        lo, hi = np.searchsorted(table, keys[hit], "left"), np.searchsorted(table, keys[hit], "right")
+        n = hi - lo
+        piece = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at_word = np.repeat(begin[hit], n)
+        # Where the item would begin, which may be before the document does.
+        found.append(np.stack([owner[piece], at_word - offset[piece], doc[at_word]], axis=1))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    by_item: dict[int, list[int]] = {}
-    for place, item in found:
-        by_item.setdefault(item, []).append(place)
-    for item, places in by_item.items():
+    rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+    for group in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1) if len(rows) else []:
+        item = int(group[0, 0])
         sequence = items.hashes[item]
         most = budget(len(sequence), items.p)
-        place = np.unique(np.array(places))
-        for part in np.array_split(place, len(place) // 2048 + 1):
-            lo = np.maximum(part - most, first[doc[part]])
-            hi = np.minimum(part + len(sequence) + most, last[part])
-            lo, hi, part = (x[shared_words(h, lo, hi, sequence) >= len(sequence) - most] for x in (lo, hi, part))
+        for part in np.array_split(group, len(group) * len(sequence) // 200_000 + 1):
+            place, text = part[:, 1], part[:, 2]
+            lo = np.maximum(place - most, first[text])
+            hi = np.minimum(place + len(sequence) + most, first[text + 1])
+            lo, hi, part = (x[shared_words(h, lo, hi, sequence) >= len(sequence) - most] for x in (lo, hi, text))
             if not len(part):
                 continue
             edits, a, b = edit_spans(h, lo, hi, sequence)
             for q in np.flatnonzero(edits <= most):
-                key, value = (int(doc[part[q]]), item), (int(edits[q]), int(a[q]), int(b[q]))
+                key, value = (int(part[q]), item), (int(edits[q]), int(a[q]), int(b[q]))
                 best[key] = min(best.get(key, value), value)
     for (text, item), (edits, a, b) in sorted(best.items()):
         yield text, item, edits, int(starts[a]) - int(at[text]), int(ends[b - 1]) - int(at[text])

@@ -120,6 +120,15 @@ def test_decontamination_recall_and_precision(spark):
     assert contamination(docs(spark, rows[:3]), benchmark.limit(0)).count() == 0
 
 
+def test_every_passage_at_the_largest_distance_is_found(spark):
+    rng, p = random.Random(6), Lsh()
+    items = [(10 * n + k, prose(10 * n + k, n)) for n in (8, 14, 30, 60, 100, 200, 300) for k in range(6)]
+    rows = [(i, " ".join([prose(i + 50_000, 30), *edited(rng, t.split(), int(p.max_edit * len(t.split()))), prose(i + 90_000, 30)])) for i, t in items]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination(docs(spark, rows), benchmark, p).collect()}
+    assert got >= {(i, i) for i, _ in items}
+
+
 def test_blocks_of_items_find_the_same(spark):
     items = [(k, prose(k, 20)) for k in range(12)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
