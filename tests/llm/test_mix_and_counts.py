@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.llm.mixing import DIMENSIONS, OTHER, drop_unsampled, mixture, rake
+import corpus_pipeline
+from shutterlake.llm.mixing import DIMENSIONS, KEEP, OTHER, drop_unsampled, mixture, rake
 from shutterlake.llm.token_counts import VOCABULARY, at_limits, encoding, length_report, quantiles, token_counts
 
 from .helpers import by_id, docs, prose
@@ -38,6 +39,20 @@ def test_mixture(spark):
     assert mixture(docs(spark, []), TARGETS).count() == 0
 
 
+def test_a_tiny_cell_does_not_thin_the_corpus(spark):
+    rows = [(i, prose(i, 40), ("en", "de", "fr", "es")[i % 4], f"src{i % 20}") for i in range(4000)]
+    rows += [(9001, "me@home", "es", "src0"), (9002, "one | two", "fr", "src3")]
+    table = docs(spark, rows)
+    kept = {r.doc_id: r for r in corpus_pipeline.source_mixing(spark, table, "").collect()}
+    tokens = {i: -(-len(t.encode()) // 4) for i, t, *_ in rows}
+    assert sum(tokens[i] for i in kept) == pytest.approx(KEEP * sum(tokens.values()), rel=0.1)
+    assert kept[9001].probability == kept[9002].probability == 1.0
+    out = by_id(mixture(table, keep=KEEP))
+    assert sum(r.tokens * r.probability for r in out.values()) == pytest.approx(KEEP * sum(tokens.values()), rel=1e-3)
+    assert {round(r.probability, 3) for r in mixture(table, keep=1.0).collect()} == {1.0}
+    assert mixture(docs(spark, []), keep=KEEP).count() == 0
+
+
 def test_token_counts(spark):
     texts = [None, "", "a", "Hello world", "  \n\n x", "é漢字 😀", prose(1, 500), "naïve's " * 3000, "<|endoftext|>", "a"]
     encoder = encoding(VOCABULARY)
