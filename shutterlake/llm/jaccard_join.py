@@ -52,6 +52,11 @@ class Join:
     pivot_items: int = 1_500_000
     region_weight: int = 4_000_000
 
+    def __post_init__(self):
+        # Sets that share nothing with a pivot are never compared with it, so no region may reach as far as them.
+        if RADIUS + 2 * self.eps + SLACK >= 1:
+            raise ValueError(f"regions of radius {RADIUS} are too wide for a similarity of {self.percent}%")
+
     @property
     def eps(self) -> float:
         return 1 - self.percent / 100

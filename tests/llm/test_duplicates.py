@@ -65,6 +65,12 @@ def test_near_duplicates_equal_brute_force(spark, p):
     assert {i: out[i].component_id for i in sets} == components(sets)
 
 
+def test_the_stage_values_equal_brute_force_in_small_regions(spark):
+    rows = near_corpus()
+    out = by_id(near_duplicates(docs(spark, rows), Join(percent=80, k=5, pivots=8, pivot_items=900, region_weight=3000)))
+    assert {i: out[i].component_id for i, _ in rows} == components({i: word_set(t, 5) for i, t in rows}, 80)
+
+
 def test_near_duplicates_edge_cases(spark):
     long = prose(1, 3000) + " " + "w" * 50_000
     rows = [*EDGES, (7, long), (8, long + " end"), (10, "twice one two three"), (10, "twice one two three")]

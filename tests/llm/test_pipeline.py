@@ -4,9 +4,10 @@ import pytest
 
 import corpus_pipeline
 from shutterlake.llm.common import table
+from shutterlake.llm.jaccard_join import Join
 from shutterlake.llm.queries import QUERIES
 
-from .helpers import components, word_set
+from .helpers import components, docs, prose, word_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,6 +43,19 @@ def test_duplicate_stages_against_brute_force(stages):
     assert set(after) == {i for i in before if root[i] == i}
 
 
+def test_near_copies_go_at_five_words_and_four_fifths(spark, stages):
+    _, before, after, *_ = stages[2]
+    root = components({i: word_set(t, 5) for i, t in before.items()}, 80)
+    assert set(after) == {i for i in before if root[i] == i}
+    words = prose(800, 95).split()
+    rows = [(1, " ".join(words)), (2, " ".join({30: "other", 60: "words"}.get(i, w) for i, w in enumerate(words)))]
+    rows += [(10 + i, prose(810 + i, 95)) for i in range(3)]
+    rows.append((20, " ".join("other" if i in (20, 40, 60) else w for i, w in enumerate(rows[2][1].split()))))  # 76 of 106 shingles
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, docs(spark, rows), SF).collect()} == {1, 10, 11, 12, 20}
+    with pytest.raises(ValueError):
+        Join(percent=75)
+
+
 def test_no_passage_is_left(spark, stages):
     items = [r.text for r in table(spark, SF, "benchmark").collect()]
     _, before, after, *_ = stages[3]
