@@ -1,13 +1,15 @@
 """Secret scan: known patterns, and strings that a primed compressor finds new.
 
 Known patterns are matched as they are: assignments to words such as password, access keys, long hexadecimal
-runs.  Beyond them, a string of 16 and more token characters near a sensitive word is a candidate.  It is
-reported if zstandard, primed with the identifiers of all such neighbourhoods and with the text around the candidate,
-still needs nearly all its bytes: marginal bytes = compressed(context + candidate) - compressed(context).
+runs.  Beyond them, a string of 16 and more token characters near a sensitive word, before or behind it, is a
+candidate.  It is reported if zstandard, primed with the identifiers of all such neighbourhoods and with the text around
+the candidate, still needs nearly all the bytes that a random string over the candidate's alphabet takes:
+marginal bytes = compressed(context + candidate) - compressed(context).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,9 +39,10 @@ IDENTIFIER = re.compile(r"[A-Za-z_]{4,}")
 
 @dataclass(frozen=True)
 class Novelty:
-    """`before`, `around`: characters searched for a sensitive word, and taken as context on either side.
+    """`before`, `around`: characters on either side searched for a sensitive word, and taken as context.
 
-    `identifiers` bounds the dictionary, and so what is broadcast; `ratio`: least marginal bytes for each byte.
+    `identifiers` bounds the dictionary, and so what is broadcast; `ratio`: least marginal bytes for each byte of a
+    string over 64 characters; over fewer characters, in proportion to the bits that each of them has.
     """
 
     before: int = 48
@@ -62,7 +65,7 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, known: list[tuple[int, int, int]], p: Novelty) -> Iterator[tuple[int, int, str]]:
-    """(start, end, context) of strings with letters and digits near a sensitive word, clear of known spans."""
+    """(start, end, context) of strings with letters near a sensitive word, clear of known spans; digits alone are a number."""
     covered, at = sorted((a, b) for a, b, _ in known), 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
@@ -71,8 +74,7 @@ def candidates(text: str, known: list[tuple[int, int, int]], p: Novelty) -> Iter
         # Spans of several kinds may overlap, so one that ends later can stand behind the pointer's.
         if any(x < b and y > a for x, y in covered[max(at - 2, 0) : at + 3]):
             continue
-        value = m[0]
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and SENSITIVE.search(text, max(0, a - p.before), a):
+        if any(c.isalpha() for c in m[0]) and (SENSITIVE.search(text, max(0, a - p.before), a) or SENSITIVE.search(text, b, b + p.before)):
             yield a, b, text[max(0, a - p.around) : a] + text[b : b + p.around]
 
 
@@ -123,6 +125,17 @@ def novelty(zstd: zstandard.ZstdCompressor, value: str, context: str) -> float:
     return (len(zstd.compress(before + own)) - len(zstd.compress(before))) / len(own)
 
 
+def bits(value: str) -> float:
+    """Bits of a character of a random string over the kinds of characters in the value, 6 at most."""
+    letters = sum(6 if max(own) in "abcdefABCDEF" else 26 for own in ({c for c in value if c.islower()}, {c for c in value if c.isupper()}) if own)
+    digits = 10 if any(c.isdigit() for c in value) else 0
+    return min(math.log2(max(letters + digits + len(set(value) & set("+/_=-")), 2)), 6)
+
+
+def is_novel(value: str, share: float, p: Novelty) -> bool:
+    return share >= p.ratio * bits(value) / 6
+
+
 def secrets(docs: DataFrame, p: Novelty = Novelty()) -> DataFrame:
     """One row per input row: `doc_id`, `found` (kind, start, end in code points, novelty) by start, then kind.
 
@@ -140,7 +153,7 @@ def secrets(docs: DataFrame, p: Novelty = Novelty()) -> DataFrame:
                 spans = [(s["start"], s["kind"], s["end"], None) for s in known]
                 for c in more:
                     share = novelty(zstd, c["value"], c["context"])
-                    if share >= p.ratio:
+                    if is_novel(c["value"], share, p):
                         spans.append((c["start"], 3, c["end"], share))
                 out.append([{"kind": KINDS[k], "start": a, "end": b, "novelty": share} for a, k, b, share in sorted(spans, key=lambda s: s[:2])])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, _FOUND)], ["doc_id", "found"])

@@ -47,6 +47,23 @@ def test_novelty_is_low_for_known_strings():
     assert novelty(zstd, "Zq8vT3nLx0RkW5yBd7Hs2Jc9", "abc") > 0.9
 
 
+def test_random_strings_of_any_length_and_alphabet_are_novel(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"hex": "0123456789ABCDEF", "letters": letters, "lower": letters[:26], "base32": letters[26:] + "234567", "mixed": letters + "0123456789"}
+    rows, want = [], {}
+    for name, alphabet in alphabets.items():
+        for n in (40, 128, 256, 512, 4096):
+            for before, behind in (("the private part follows ", " and more"), (prose(n, 20) + " see ", " is its signature")):
+                value = "".join(rng.choice(alphabet) for _ in range(n))
+                want[len(rows)] = (name, n, f"novel:{len(before)}:{len(before) + n}")
+                rows.append((len(rows), before + value + behind))
+    rows += [(5000, "the private part follows " + "z" * 500), (5001, "the private part follows " + "Abcd1234" * 40), (5002, "key " + "-" * 60)]
+    out = by_id(digest(secrets(docs(spark, rows))))
+    assert [w for i, w in want.items() if out[i].spans != w[2]] == []
+    assert [out[i].spans for i in (5000, 5001, 5002)] == [""] * 3
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/a?x=/de/", "https://www.example.com/en/b#t", "http://a.www.Example.com/en/", "http://notexample.com/en/x",
             "http://x.net/es/1", "http://x.net/es", "ftp://net/fr/y://z", "http://shop.org/?q", "http://com/", "http://com", "http://x.org/a\n/b?c"]
