@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.llm.binary_records import record_report
+from shutterlake.llm.centroids import OP11_SQL, cluster_report
 from shutterlake.llm.common import table
 from shutterlake.llm.decontamination import contamination
 from shutterlake.llm.exact_dedup import OP9_SQL, exact_duplicates
 from shutterlake.llm.jaccard_join import OP8_SQL, near_duplicates
+from shutterlake.llm.importance import OP12_SQL, resampled
 from shutterlake.llm.language_id import language_held_out
 from shutterlake.llm.mixing import OP5_SQL, mixture
 from shutterlake.llm.secret_scan import digest, secrets
@@ -61,6 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_held_out(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings")).drop("candidates")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +93,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_records": op13_token_records,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op5_source_mixing": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op5_source_mixing": OP5_SQL,
+    "op8_ngram_jaccard": OP8_SQL,
+    "op9_exact_dedup": OP9_SQL,
+    "op11_centroid_clustering": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
+}
