@@ -17,10 +17,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,10 +42,10 @@ from shutterlake.session import fresh_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 # Text of so many bytes is encoded and written at a time.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 # A partition reads about so many bytes of records.
 SPLIT_BYTES = 32 << 20
-# Words remembered with their ids by a task; all are forgotten when there are more.
+# Words remembered with their ids by a Python worker; all are forgotten when there are more.
 REMEMBERED = 500_000
 # Fixed values of the framing: the polynomial of CRC-32C (reflected), and the constant of masked sums.
 POLYNOMIAL = 0x82F63B78
@@ -274,47 +277,127 @@ class TokenRecords(DataSource):
         return RecordWriter(dict(self.options))
 
 
+class _Known(dict):
+    """Numbers for words, given when they are first asked for, and the ids of numbered words in one array."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.pool, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+    def number(self, words: Iterator[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, n)
+
+    def take_new(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """Ids of the new words, in order."""
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
+        self.pool, self.size = np.concatenate([self.pool, ids]), np.concatenate([self.size, size])
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        count = self.size[numbers]
+        stop = np.cumsum(count)
+        return self.pool[np.arange(count.sum()) + np.repeat(self.first[numbers] - (stop - count), count)], count
+
+
 class Encoder:
     """Ids of whole texts by a vocabulary of the tokenizers library.
 
     Its normaliser and its pieces never reach across a space, tab or line feed, so a text's ids are those of
-    its words between these, one after another.  A word is encoded once and remembered.  (A vocabulary whose pieces
-    hold white space needs `whole=True`, which encodes every text in one go.)
+    its words between these, one after another.  A word is encoded once and remembered; new words are encoded
+    together, `JOINED` of them in one call, and told apart by the places of their ids.  Where the vocabulary says that it
+    lower-cases and cuts by `PIECES`, a word of printable ASCII is cut here, and its pieces go to the library's
+    model, each once.  (A vocabulary whose pieces hold white space needs `whole=True`, which encodes every text in one go.)
     """
 
+    JOINED = 256
+    # The pattern of the vocabulary's pieces, as its file has it, and what that means for ASCII.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
     def __init__(self, path: str, whole: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
-        self.known: dict[str, np.ndarray] = {}
+        self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = [n.get("type") for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        cut = [(c.get("type"), c.get("pattern", {}).get("Regex")) for c in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.cuts = kinds == ["NFC", "Replace", "Lowercase"] and cut == [("Split", self.PIECES), ("ByteLevel", None)] and parts["post_processor"] is None
+        self.added = tuple(t["content"] for t in parts["added_tokens"])
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.pieces = _Known(), _Known()
+
+    def learn(self) -> None:
+        """Encode the words that were numbered since the last call."""
+        words = self.words.take_new()
+        cut = [self.cuts and w.isascii() and w.isprintable() and not any(a in w for a in self.added) for w in words]
+        size = np.zeros(len(words), np.int64)
+        parts = [self.ASCII_PIECES.findall(w.lower()) for w, c in zip(words, cut, strict=True) if c]
+        numbers = self.pieces.number(chain.from_iterable(parts), sum(map(len, parts)))
+        tokens = [[t.id for t in self.model.tokenize(p)] for p in self.pieces.take_new()]
+        self.pieces.add(np.fromiter(chain.from_iterable(tokens), np.uint32), np.array([len(t) for t in tokens], np.int64))
+        cut_ids, count = self.pieces.ids(numbers)
+        edge = np.cumsum([0] + [len(p) for p in parts])
+        before = np.concatenate([[0], np.cumsum(count)])
+        size[cut] = before[edge[1:]] - before[edge[:-1]]
+        other = [i for i, c in enumerate(cut) if not c]
+        found = [np.zeros(0, np.uint32)]
+        for k in range(0, len(other), self.JOINED):
+            group = other[k : k + self.JOINED]
+            joined = self.tokenizer.encode(" ".join([words[i] for i in group]), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(words[i]) + 1 for i in group])
+            places = np.array([a for a, _ in joined.offsets], np.int64)
+            size[group] = np.diff(np.searchsorted(places, starts))
+            found.append(np.array(joined.ids, np.uint32))
+        ids = np.zeros(size.sum(), np.uint32)
+        ours = np.repeat(np.array(cut, bool), size)
+        ids[ours], ids[~ours] = cut_ids, np.concatenate(found)
+        self.words.add(ids, size)
 
     def batch(self, texts: Sequence[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with `end` behind it, and where each text's ids start (one more for the end)."""
         if self.whole:
-            parts = [[np.array(e.ids + [end], np.uint32)] for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
-        else:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            words = [_words(t) for t in texts]
-            new = list(set().union(*words).difference(self.known))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-            last, get = np.array([end], np.uint32), self.known.__getitem__
-            parts = [[*map(get, w), last] for w in words]
-        flat = [p for part in parts for p in part]
-        sizes = np.array([len(p) for p in flat])
-        ends = np.cumsum([len(part) for part in parts])
-        return np.concatenate(flat), np.concatenate([[0], np.cumsum(sizes)[ends - 1]])
-
-
-def _words(text: str) -> list[str]:
-    return [w for line in text.split("\n") for part in line.split("\t") for w in part.split(" ") if w]
+            found = [[*e.ids, end] for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0] + [len(ids) for ids in found])
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        n = np.array([len(w) for w in words])
+        numbers = self.words.number(chain.from_iterable(words), n.sum())
+        if self.words.new:
+            self.learn()
+        ids, count = self.words.ids(numbers)
+        # The end id follows the last word of each text.
+        last = np.concatenate([[0], np.cumsum(count)])[np.cumsum(n)]
+        at = last + np.arange(1, len(n) + 1)
+        out = np.full(len(ids) + len(n), end, np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[at - 1] = False
+        out[keep] = ids
+        return out, np.concatenate([[0], at])
+
+
+@lru_cache(1)
+def _encoder(vocabulary: str, whole: bool) -> Encoder:
+    """One for each Python worker, which Spark uses for several tasks."""
+    return Encoder(vocabulary, whole)
 
 
 def encoded(docs: DataFrame, vocabulary: str, end: int = END_ID, whole: bool = False) -> DataFrame:
     """`doc_id`, `ids` (4 bytes each) of every row, in the order of rows; null texts as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, whole)
+        encoder = _encoder(vocabulary, whole)
         for batch in batches:
             texts, row = batch.column("text"), 0
             size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
