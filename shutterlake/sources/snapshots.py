@@ -7,6 +7,7 @@ so readers never see half of it, and a job that died leaves no trace.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,17 +44,29 @@ class _Store:
         numbers = sorted(int(n[1]) for n in names if n[0] == self.prefix and len(n) == 2)
         return [n for n in numbers if self._exists(f"{self._folder(n)}/{MARKER}")]
 
-    def _write(self, number: int, tables: Mapping[str, DataFrame]) -> None:
-        if set(tables) != set(self.schemas):
+    def _write(self, number: int, tables: Mapping[str, DataFrame], also: Callable[[], None] | None = None, partial: bool = False) -> None:
+        """Write tables and, last, the marker.  `partial`: the other tables of the folder are written already."""
+        if not partial and set(tables) != set(self.schemas):
             raise ValueError(f"exactly these tables are written together: {sorted(self.schemas)}")
-        # Written again, a folder is incomplete until its new marker stands.
-        fs, marker = self._fs(f"{self._folder(number)}/{MARKER}")
-        fs.delete(marker, False)
-        for name, df in tables.items():
+        self._unmark(number)
+
+        def write(name: str) -> None:
             columns = [F.col(f.name).cast(f.dataType) for f in self.schemas[name].fields]
-            df.select(*columns).write.mode("overwrite").parquet(f"{self._folder(number)}/{name}")
+            tables[name].select(*columns).write.mode("overwrite").parquet(f"{self._folder(number)}/{name}")
+
+        # Tables are independent jobs; small ones would leave the cluster idle one after another.
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(write, tables))
+        if also is not None:
+            also()
+        fs, marker = self._fs(f"{self._folder(number)}/{MARKER}")
         fs.create(marker, True).close()
 
+    def _unmark(self, number: int) -> None:
+        """Written again, a folder is incomplete until its new marker stands."""
+        fs, marker = self._fs(f"{self._folder(number)}/{MARKER}")
+        fs.delete(marker, False)
+
     def _empty(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([], self.schemas[table])
 
@@ -103,8 +116,9 @@ class BatchLog(_Store):
 
     prefix = "batch"
 
-    def append(self, batch: int, tables: Mapping[str, DataFrame]) -> None:
-        self._write(batch, tables)
+    def append(self, batch: int, tables: Mapping[str, DataFrame], also: Callable[[], None] | None = None) -> None:
+        """Write a batch's rows, then what `also` writes, then the marker of both."""
+        self._write(batch, tables, also)
 
     def batches(self, before: int | None = None) -> list[int]:
         return [n for n in self._complete() if before is None or n < before]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.functions import hashing
 from shutterlake.operators import accounts, changes, counters, dedup, ingest, ledger, similarity, tagging, timeline
 from shutterlake.operators import tags as tag_ops
 from shutterlake.plans import maintenance, near_duplicates
-from shutterlake.session import fresh_path, materialise
+from shutterlake.schema import POSTS, Catalogue
+from shutterlake.session import drop_path, fresh_path, materialise
 from shutterlake.sources import images as image_source
 from shutterlake.sources import tables
 from shutterlake.streaming import ingest as ingest_stream_job
@@ -48,6 +50,27 @@ def _rules(v: Views) -> list[tagging.Rule]:
     return tagging.load_rules(v.rules())
 
 
+# 1,200 keywords drawn from the texts themselves; half of them match whole words only.
+MANY = 1200
+query(
+    "tag_many_keywords",
+    f""",
+many AS (
+  SELECT w, substr(md5(w), 1, 1) < '8' AS part FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(description), '[a-z]{{6,}}')) AS w FROM posts)
+  ORDER BY md5(w), w LIMIT {MANY})
+SELECT 'has ' || w AS name, count(*) AS n FROM posts p JOIN many m ON CASE WHEN m.part THEN contains(lower(p.description), m.w)
+  ELSE regexp_matches(lower(p.description), '(^|[^a-z0-9_])' || m.w || '([^a-z0-9_]|\\z)') END GROUP BY 1""",
+)(lambda v: tagging.assign_tags(v.posts(), _many_rules(v)).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _many_rules(v: Views, n: int = MANY) -> list[tagging.Rule]:
+    words = v.posts().select(F.explode(F.regexp_extract_all(F.lower("description"), F.lit("([a-z]{6,})"))).alias("w")).distinct()
+    first = words.orderBy(F.md5("w"), "w").limit(n)
+    mode = F.when(F.substring(F.md5("w"), 1, 1) < "8", "substring").otherwise("word")
+    ordinal = F.row_number().over(W.orderBy("w")).cast("int")  # of the n words
+    return tagging.load_rules(first.select(ordinal.alias("ord"), F.concat(F.lit("has "), "w").alias("tag"), F.lit(None).cast("string").alias("parent"), mode.alias("mode"), F.col("w").alias("keyword")))
+
+
 query(
     "tag_rules",
     RULE_LINKS
@@ -682,15 +705,29 @@ SELECT CAST(greatest(500 + sum(bytes), sum(bytes) - min(total)) AS BIGINT) AS to
 query("like_stream", LIKES_AFTER)(lambda v: _like_stream(v))
 
 
-def _like_stream(v: Views) -> DataFrame:
+def _like_stream(v: Views, spans: int = 6) -> DataFrame:
+    """Events as a stream: a run for each span of time; the last batch is repeated."""
     root = fresh_path(v.spark, "like-stream")
-    schema = v.table("events").schema
-    stream = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
+    rows = v.table("events")
     kind = F.col("event_type")
     action = F.when(kind == "click", "like").when(kind == "error", "unlike").otherwise("other")
-    events = stream.select((F.col("user_id") + 1).alias("post_id"), action.alias("action"), "ts", "event_id")
     log = like_stream_job.like_log(v.spark, f"{root}/log")
-    like_stream_job.start_like_stream(events, log, f"{root}/checkpoint", ["ts", "event_id"]).awaitTermination()
+
+    def run() -> None:
+        stream = v.spark.readStream.schema(rows.schema).parquet(f"{root}/feed/*")
+        events = stream.select((F.col("user_id") + 1).alias("post_id"), action.alias("action"), "ts", "event_id")
+        like_stream_job.start_like_stream(events, log, f"{root}/checkpoint", ["ts", "event_id"]).awaitTermination()
+
+    ends = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    step = (ends["high"] - ends["low"]) / spans
+    cuts = [ends["low"] + step * k for k in range(spans)]
+    for k, low in enumerate(cuts):
+        span = F.col("ts") >= F.lit(low) if k else F.lit(True)
+        span = span if k + 1 == spans else span & (F.col("ts") < F.lit(cuts[k + 1]))
+        rows.filter(span).write.parquet(f"{root}/feed/span={k}")
+        run()
+    drop_path(v.spark, f"{root}/checkpoint/commits/{spans - 1}")
+    run()
     return like_stream_job.current_likes(v.posts(), log).select("id", "likes")
 
 
@@ -947,37 +984,138 @@ def _json_records(v: Views) -> DataFrame:
     return rows.groupBy("account", "tweet_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-STREAMED = (
-    (ACTIVE + FIRST_WANTED + FROM_WANTED + CANDIDATES[: CANDIDATES.index(""",
-stored_posts AS""")])
-    .replace("FROM part WHERE p_brand = 'Brand#3' AND p_size < 5", "FROM part WHERE false")
-    + """
-SELECT account AS author, post_url, nick AS author_display_name, media_keys, photo_count, video_count, nullif(description, '') AS tag_name FROM candidates"""
+# The stream: five batches by year of shipment, each a run of its own, onto stored posts, archive and marks.  Media
+# ids of an account come again after 300 items; ids ending in 13 fail as gifs, those ending in 77 are too large as videos.
+STREAM_YEARS = ((0, 1993), (1994, 1994), (1995, 1995), (1996, 1996), (1997, 9999))
+STREAM_FEED = """
+feed AS (
+  SELECT account, pos, CASE WHEN line = 6 THEN NULL ELSE tweet_id END AS tweet_id, CASE WHEN line = 7 THEN 'text' ELSE type END AS type, url, date, content, nick, b
+  FROM (SELECT 'acct' || l_suppkey AS account, l_linenumber AS line,
+      row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) AS pos,
+      CAST(2039917506295648359 + 1000 * l_orderkey AS VARCHAR) AS tweet_id,
+      'https://media.example/' || l_suppkey || '/' || (l_suppkey * 1000 + (7 * l_orderkey + l_linenumber) % 300) || CASE l_returnflag WHEN 'A' THEN '?format=png' WHEN 'N' THEN '.mp4?tag=1' ELSE '.gif' END AS url,
+      CASE l_returnflag WHEN 'A' THEN 'photo' WHEN 'N' THEN 'Video' ELSE 'animated_gif' END AS type,
+      strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS date, 'item ' || l_linenumber AS content,
+      CASE WHEN l_linestatus = 'O' THEN ' Nick ' || l_suppkey ELSE '' END AS nick,
+      CASE WHEN year(l_shipdate) <= 1993 THEN 0 WHEN year(l_shipdate) >= 1997 THEN 4 ELSE year(l_shipdate) - 1993 END AS b
+    FROM lineitem)),
+active AS (SELECT 'acct' || s_suppkey AS account, s_suppkey % 3 = 0 AS full_history FROM supplier WHERE s_suppkey % 7 <> 3),
+marks0 AS (
+  SELECT account, arg_min(tweet_id, pos) AS post_id, '' AS date FROM feed
+  WHERE b = 0 AND tweet_id IS NOT NULL AND account IN (SELECT 'acct' || s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY account),
+archive0 AS (SELECT DISTINCT CAST(s_suppkey * 1000 + 5 AS VARCHAR) AS media_id FROM supplier),
+stored0 AS (SELECT DISTINCT 'acct' || l_suppkey AS author, CASE WHEN l_linenumber = 1 THEN 'https://x.com/acct' || l_suppkey || '/status/' || (2039917506295648359 + 1000 * l_orderkey) ELSE '' END AS post_url,
+    'acct' || l_suppkey || '_' || (2039917506295648359 + 1000 * l_orderkey) || '_1.mp4' AS key
+  FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 45)"""
+STREAM_STEP = """,
+heads{k} AS MATERIALIZED (SELECT account, arg_min(tweet_id, pos) AS post_id, arg_min(date, pos) AS date FROM feed WHERE b = {k} AND tweet_id IS NOT NULL GROUP BY account),
+unchanged{k} AS (SELECT h.account FROM heads{k} h JOIN marks{k} m ON m.account = h.account AND m.post_id = h.post_id WHERE m.date = '' OR h.date = '' OR m.date = h.date),
+wanted{k} AS MATERIALIZED (
+  SELECT f.* EXCLUDE (tweet_id, b), coalesce(f.tweet_id, 'undefined') AS tweet_id, regexp_extract(url, '/([0-9]+)[.?]', 1) AS media_id, CASE WHEN type = 'photo' THEN '.png' ELSE '.mp4' END AS ext
+  FROM feed f JOIN active a ON a.account = f.account LEFT JOIN marks{k} m ON m.account = f.account
+  WHERE f.b = {k} AND f.account NOT IN (SELECT account FROM unchanged{k}) AND f.type <> 'text'
+    AND (a.full_history OR m.post_id IS NULL OR f.tweet_id IS NULL OR CAST(f.tweet_id AS HUGEINT) > CAST(m.post_id AS HUGEINT))),
+tried{k} AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY account, tweet_id ORDER BY pos) AS nn,
+    CASE WHEN media_id IN (SELECT media_id FROM archive{k}) THEN 'skipped' WHEN contains(url, '13.gif') THEN 'failed' ELSE 'downloaded' END AS status,
+    CASE WHEN contains(url, '77.mp4') THEN 100000000 ELSE length(url) * 1000 END AS size
+  FROM (SELECT *, row_number() OVER (PARTITION BY account, tweet_id, media_id ORDER BY pos) AS seen FROM wanted{k}) WHERE seen = 1),
+judged{k} AS MATERIALIZED (
+  SELECT account, tweet_id, count(*) FILTER (WHERE status = 'failed') AS failed,
+    CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (WHERE status = 'downloaded') = 0 THEN 'skipped'
+      WHEN max(size) FILTER (WHERE status = 'downloaded') > 99614720 THEN 'oversize' ELSE 'ready' END AS outcome
+  FROM tried{k} GROUP BY 1, 2),
+nicks{k} AS (SELECT account, coalesce(trim(arg_min(nick, pos) FILTER (WHERE trim(nick) <> '')), account) AS nick FROM tried{k} GROUP BY account),
+metas{k} AS (
+  SELECT account, tweet_id, CASE WHEN tweet_id = 'undefined' THEN '' ELSE arg_min(content, pos) END AS description,
+    CASE WHEN tweet_id = 'undefined' THEN '' ELSE trim(arg_min(nick, pos)) END AS nick FROM tried{k} GROUP BY 1, 2),
+files{k} AS (
+  SELECT t.account, t.tweet_id, list(t.account || '_' || t.tweet_id || '_' || t.nn || t.ext ORDER BY t.nn) AS keys, arg_min(t.tweet_id || '_' || t.nn || t.ext, t.nn) AS first_file,
+    count(*) FILTER (WHERE t.ext = '.png') AS photo_count, count(*) FILTER (WHERE t.ext = '.mp4') AS video_count
+  FROM tried{k} t JOIN judged{k} j USING (account, tweet_id) WHERE j.outcome = 'ready' AND t.status = 'downloaded' GROUP BY 1, 2),
+candidates{k} AS MATERIALIZED (
+  SELECT f.*, m.description, coalesce(nullif(m.nick, ''), n.nick) AS nick, CASE WHEN f.tweet_id = 'undefined' THEN '' ELSE 'https://x.com/' || f.account || '/status/' || f.tweet_id END AS post_url
+  FROM files{k} f JOIN metas{k} m USING (account, tweet_id) JOIN nicks{k} n USING (account)),
+met{k} AS (
+  SELECT DISTINCT c.account, c.tweet_id FROM candidates{k} c JOIN stored{k} s ON s.author = c.account WHERE lower(s.key) LIKE '%' || lower(c.first_file) || '%'),
+fresh{k} AS MATERIALIZED (
+  SELECT c.* FROM candidates{k} c ANTI JOIN met{k} USING (account, tweet_id)
+  WHERE c.post_url NOT IN (SELECT post_url FROM stored{k} WHERE post_url <> '')),
+news{k} AS (SELECT * FROM heads{k} WHERE account IN (SELECT account FROM active) AND account NOT IN (SELECT account FROM judged{k} WHERE failed > 0)),
+marks{n} AS MATERIALIZED (SELECT * FROM news{k} UNION ALL SELECT * FROM marks{k} ANTI JOIN news{k} USING (account)),
+archive{n} AS MATERIALIZED (
+  SELECT media_id FROM archive{k} UNION
+  SELECT t.media_id FROM tried{k} t JOIN judged{k} j USING (account, tweet_id) WHERE t.status = 'downloaded' AND j.outcome IN ('ready', 'oversize')),
+stored{n} AS MATERIALIZED (SELECT * FROM stored{k} UNION ALL SELECT account, post_url, unnest(keys) FROM fresh{k})"""
+STREAM_STATES = STREAM_FEED + "".join(STREAM_STEP.replace("{k}", str(k)).replace("{n}", str(k + 1)) for k in range(len(STREAM_YEARS)))
+STREAM_ROWS = " UNION ALL ".join(
+    f"""
+SELECT CAST({k} AS BIGINT) AS batch, account AS author, post_url, nick AS author_display_name, array_to_string(keys, ',') AS media_keys, photo_count, video_count,
+  nullif(description, '') AS tag_name FROM fresh{k}"""
+    for k in range(len(STREAM_YEARS))
 )
-query("ingest_stream", STREAMED)(lambda v: _ingest_stream(v))
+query("ingest_stream", f", {STREAM_STATES} {STREAM_ROWS}")(lambda v: _streamed_posts(v))
+def _stream_rows(li: DataFrame) -> DataFrame:
+    """Timeline rows of a batch, with media ids of the stream's own."""
+    rows = Views.timeline_rows(li)
+    number = F.substring("account", 5, 20).cast("long") * 1000 + (F.col("pos.l_linenumber") - 7 * F.col("pos.o")) % 300
+    url = F.regexp_replace("url", F.lit(r"/[0-9]+(?=[.?])"), F.concat(F.lit("/"), number))
+    return _feed(rows.withColumn("url", url))
+
+
+def _stream_fetched(items: DataFrame) -> DataFrame:
+    url = F.col("url")
+    size = F.when(F.contains(url, F.lit("77.mp4")), 100_000_000).otherwise(F.length("url") * 1000)
+    return items.select("url").distinct().select("url", size.cast("long").alias("size"), (~F.contains(url, F.lit("13.gif"))).alias("ok"))
 
 
-def _ingest_stream(v: Views) -> DataFrame:
-    """Line items as a stream, ingested by the streaming job into an empty catalogue."""
+def _stream_seed(v: Views, log: ingest_stream_job.IngestLog) -> None:
+    """Earlier posts as in `_ingest_state`; marks of indebted accounts; one archived medium of every account."""
+    given = {f.name: F.lit(None) for f in POSTS.fields} | {c: F.lit(0) for c in ("photo_count", "video_count", "media_count_version")}
+    posts = _ingest_state(v).posts
+    posts = posts.select(*[(F.col(f.name) if f.name in posts.columns else given[f.name]).cast(f.dataType).alias(f.name) for f in POSTS.fields])
+    supplier = v.table("supplier")
+    names = supplier.filter("s_acctbal < 0").select(F.concat(F.lit("acct"), "s_suppkey").alias("account"))
+    first = _stream_rows(v.table("lineitem").filter(F.year("l_shipdate") <= STREAM_YEARS[0][1]))
+    marks = timeline.latest_signature(first).join(names, "account", "left_semi").withColumn("date", F.lit(""))
+    media = supplier.select((F.col("s_suppkey") * 1000 + 5).cast("string").alias("media_id"))
+    links = v.spark.createDataFrame([], "post_id long, tag_id long")
+    ingest_stream_job.seed_catalogue(log, Catalogue(posts, v.tags(), links), media, marks)
+
+
+def _ingest_stream(v: Views, watch=None, replay: bool = True) -> ingest_stream_job.IngestLog:
+    """Line items as a stream onto a seeded catalogue: a run for each span of years; the last batch is repeated.
+
+    The repeat is that of a job that died after it stored a batch and before Spark noted that: the batch's
+    entry among the checkpoint's commits is taken away, so the next run does it again.
+    """
     root = fresh_path(v.spark, "ingest-stream")
-    schema = v.table("lineitem").schema
-    stream = v.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(v.sf_dir)
+    li = v.table("lineitem")
     log = ingest_stream_job.ingest_log(v.spark, f"{root}/log")
-    ingest_stream_job.start_ingest_stream(
-        stream,
-        log,
-        f"{root}/checkpoint",
-        _ingest_state(v).accounts,
-        lambda items: _fetched(v, items),
-        _ingest_rules(v),
-        now=lambda: NOW,
-        to_rows=lambda batch: _feed(Views.timeline_rows(batch)),
-    ).awaitTermination()
-    cat = ingest_stream_job.current_catalogue(log)
-    names = cat.tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"))
-    named = cat.post_tags.join(names, "tag_id").select(F.col("post_id").alias("id"), "tag_name")
-    return cat.posts.join(named, "id", "left").select(
-        "author", "post_url", "author_display_name", F.array_join("media_keys", ",").alias("media_keys"), "photo_count", "video_count", "tag_name"
+    _stream_seed(v, log)
+    accounts = _ingest_state(v).accounts
+
+    def run() -> None:
+        stream = v.spark.readStream.schema(li.schema).parquet(f"{root}/feed/*")
+        ingest_stream_job.start_ingest_stream(
+            stream, log, f"{root}/checkpoint", accounts, _stream_fetched, _ingest_rules(v), now=lambda: NOW, to_rows=_stream_rows, watch=watch
+        ).awaitTermination()
+
+    for k, (first, last) in enumerate(STREAM_YEARS):
+        li.filter(F.year("l_shipdate").between(first, last)).write.parquet(f"{root}/feed/span={k}")
+        run()
+    if replay:
+        drop_path(v.spark, f"{root}/checkpoint/commits/{len(STREAM_YEARS) - 1}")
+        run()
+    return log
+
+
+def _streamed_posts(v: Views) -> DataFrame:
+    log = _ingest_stream(v)
+    tags = log.read("tags").select(F.col("id").alias("tag_id"), F.col("name").alias("tag_name"))
+    named = log.read("post_tags").select("post_id", "tag_id").join(tags, "tag_id").select(F.col("post_id").alias("id"), "tag_name")
+    return log.read("posts").filter("batch >= 0").join(named, "id", "left").select(
+        "batch", "author", "post_url", "author_display_name", F.array_join("media_keys", ",").alias("media_keys"), "photo_count", "video_count", "tag_name"
     )
 
 

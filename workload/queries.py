@@ -17,7 +17,7 @@ from shutterlake.functions import accounts as account_fn
 from shutterlake.functions import capacity, media, times
 from shutterlake.operators import accounts, audits, dedup, filters, overview, tagging
 from shutterlake.operators import tags as tag_ops
-from shutterlake.plans import pages
+from shutterlake.plans import pages, stored_pages
 from workload.views import NOW, NOW_TEXT, SQL, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,7 @@ TAGGED = "i.id IN (SELECT pt.post_id FROM post_tags pt JOIN tags t ON t.id = pt.
 
 
 def feed(v: Views, **criteria) -> DataFrame:
-    return pages.feed_page(*v.feed(), **criteria).items.select(*FEED_COLUMNS)
+    return stored_pages.feed_page(v.store(), **criteria).items.select(*FEED_COLUMNS)
 
 
 query("feed_newest", page_sql("i.published = 1", NEWEST, 48))(lambda v: feed(v))
@@ -138,7 +138,7 @@ FROM posts p""",
 
 
 def search(v: Views, **criteria) -> DataFrame:
-    return pages.search_page(*v.feed(), **criteria).items.select(*FEED_COLUMNS)
+    return stored_pages.search_page(v.store(), **criteria).items.select(*FEED_COLUMNS)
 
 
 def like_sql(needle: str, *columns: str) -> str:
@@ -173,7 +173,7 @@ query("search_author_nocase", page_sql(f"i.published = 1 AND {fold('i.author')}
 
 
 def admin(v: Views, **criteria) -> DataFrame:
-    page = pages.admin_page(*v.feed(), **criteria)
+    page = stored_pages.admin_page(v.store(), **criteria)
     facts = {"total": page.total, "first": page.showing_start, "last": page.showing_end, "more": page.has_more}
     return page.items.select(*FEED_COLUMNS).withColumns({k: F.lit(x) for k, x in facts.items()})
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.media import photo_count, video_count
 from shutterlake.schema import Catalogue
-from shutterlake.session import tune
+from shutterlake.session import fresh_path, tune
+from shutterlake.sources.page_store import PageStore
 
 NOW = datetime(2024, 1, 5, 12, 30)
 NOW_TEXT = "2024-01-05 12:30:00"
@@ -148,6 +149,9 @@ def hash60(c: Column | str) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
 
 
+_STORES: dict[tuple[str, str], PageStore] = {}
+
+
 class Views:
     """The catalogue of one scale; every view is a lazy DataFrame."""
 
@@ -256,6 +260,15 @@ class Views:
     def catalogue(self) -> Catalogue:
         return Catalogue(self.posts(), self.tags(), self.post_tags(), self.asset_rows(), self.accounts())
 
+    def store(self) -> PageStore:
+        """The catalogue laid out for pages; a session lays out each scale once."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STORES:
+            store = PageStore(self.spark, fresh_path(self.spark, "page-store"))
+            store.publish_catalogue(self.catalogue(), 0)
+            _STORES[key] = store
+        return _STORES[key]
+
     def feed(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.posts(), self.post_tags(), self.tags()
 
