@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.session import materialise, tune
 
-__all__ = ["materialise", "tune", "documents", "table", "crc_bucket", "text_chunks", "repeated_keys"]
+__all__ = ["materialise", "tune", "documents", "table", "crc_bucket", "free_name", "text_chunks", "repeated_keys"]
 
 CHUNK_BYTES = 1 << 21
 WHITE = np.zeros(256, bool)
@@ -42,6 +42,15 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """`base`, or `base` with a number behind it where `df` has a column of that name (in any case)."""
+    taken, name, n = {c.lower() for c in df.columns}, base, 0
+    while name.lower() in taken:
+        n += 1
+        name = f"{base}_{n}"
+    return name
+
+
 def crc_bucket(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo `n`; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import documents, materialise
+from shutterlake.llm.common import documents, free_name, materialise
 from shutterlake.session import fresh_path
 
 
@@ -104,15 +104,16 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Of repeated rows of one doc_id and text, one stays.
     """
-    judged = materialise(exact_duplicates(docs).select("doc_id", "kept", "text_sha256", "keep_id", "group_size"), "exact")
-    kept = judged.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = kept.select(F.col("doc_id").alias("_keep"), "_rows")
-    nameless = judged.filter("keep_id is null").select(F.col("text_sha256").alias("_digest")).distinct()
-    marked = docs.join(kept, docs["doc_id"].cast("long") == kept["_keep"])
-    once, more = marked.filter("_rows = 1"), marked.filter("_rows > 1").dropDuplicates(["_keep"])
+    rows, keep, digest = (free_name(docs, c) for c in ("_rows", "_keep", "_digest"))
+    judged = materialise(exact_duplicates(docs).select("doc_id", "kept", "text_sha256", "keep_id"), "exact")
+    kept = judged.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows))
+    kept = kept.select(F.col("doc_id").alias(keep), rows)
+    nameless = judged.filter("keep_id is null").select(F.col("text_sha256").alias(digest)).distinct()
+    marked = docs.join(kept, docs["doc_id"].cast("long") == kept[keep])
+    once, more = marked.filter(F.col(rows) == 1), marked.filter(F.col(rows) > 1).dropDuplicates([keep])
     without = docs.filter("doc_id is null")
-    lone = without.join(nameless, F.lower(F.hex(text_digest(without["text"]))) == nameless["_digest"])
-    return once.select(*docs.columns).unionByName(more.select(*docs.columns)).unionByName(lone.dropDuplicates(["_digest"]).select(*docs.columns))
+    lone = without.join(nameless, F.lower(F.hex(text_digest(without["text"]))) == nameless[digest])
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns)).unionByName(lone.dropDuplicates([digest]).select(*docs.columns))
 
 
 OP9_SQL = """

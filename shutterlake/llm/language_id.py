@@ -132,7 +132,9 @@ def train(docs: DataFrame, p: Ecoc = Ecoc()) -> Model | None:
     each = p.sample / len(langs)
     spark = docs.sparkSession
     rates = spark.createDataFrame([(c, k, min(1.0, each / counts[c])) for k, c in enumerate(langs)], "_lang string, _class int, _rate double")
-    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    # Rows without an id are drawn by their text, so that they are not drawn or left all together.
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit("sample"))).otherwise(F.xxhash64("doc_id", F.lit("sample")))
+    place = F.pmod(hashed, F.lit(1 << 30)) / (1 << 30)
     sample = rows.join(F.broadcast(rates), "_lang").filter(place < F.col("_rate")).select("_class", "text", F.xxhash64("doc_id", "text").alias("_order"))
     code = codewords(len(langs))
 

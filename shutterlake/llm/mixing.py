@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import materialise
+from shutterlake.llm.common import free_name, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 # Stands for values without a target of their own; its target is the entry under this name, else 0.
@@ -199,7 +199,11 @@ OP5_SQL = _sql()
 
 
 def drop_unsampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, keep: float | None = None) -> DataFrame:
-    """The sampled rows with all their columns, and `probability`, under which the sample is unbiased."""
-    chosen = mixture(docs, targets, keep=keep).filter("sampled").groupBy(F.col("doc_id").alias("_chosen")).agg(F.max("probability").alias("_probability"))
-    out = docs.join(chosen.hint("merge"), docs["doc_id"].cast("long") == chosen["_chosen"])
-    return out.select(*[docs[c] for c in docs.columns if c != "probability"], F.col("_probability").alias("probability"))
+    """The sampled rows with all their columns, and `probability`, under which the sample is unbiased.
+
+    Where the documents have a column of that name it stays, and ours has a number behind its name.
+    """
+    mine, name = free_name(docs, "_chosen"), free_name(docs, "probability")
+    chosen = mixture(docs, targets, keep=keep).filter("sampled").groupBy(F.col("doc_id").alias(mine)).agg(F.max("probability").alias(name))
+    out = docs.join(chosen.hint("merge"), docs["doc_id"].cast("long") == chosen[mine])
+    return out.select(*[docs[c] for c in docs.columns], chosen[name])

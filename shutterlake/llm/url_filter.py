@@ -34,11 +34,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Mining:
-    """`items` bounds the tokens of a URL that are mined, its first ones; matching uses all tokens."""
+    """Least share of the URLs, and of those with a rule's tokens, that a rule needs.
+
+    All tokens of a URL are mined.  FP-growth drops those below the least support first; what is left of
+    a URL are its common tokens, and the number of rules grows with how many of these come together.
+    """
 
     support: float = 0.002
     confidence: float = 0.9
-    items: int = 12
 
 
 def host(url: Column) -> Column:
@@ -72,7 +75,7 @@ def tokens(host_: Column, path_: Column) -> Column:
 def mine(labelled: DataFrame, p: Mining = Mining()) -> DataFrame:
     """Rules (`tokens`, `verdict`, `confidence`, `support`, `anchor`) from rows of `tokens` and `verdict`."""
     item = F.concat(F.lit("="), F.col("verdict"))
-    baskets = labelled.filter(F.size("tokens") > 0).select(F.concat(F.slice("tokens", 1, p.items), F.array(item)).alias("items"))
+    baskets = labelled.filter(F.size("tokens") > 0).select(F.concat("tokens", F.array(item)).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=p.support, minConfidence=p.confidence).fit(baskets)
     count = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("_token"), "freq")
     found = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit("=")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("="))))

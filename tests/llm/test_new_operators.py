@@ -271,3 +271,33 @@ def test_words_encode_as_whole_texts():
     texts = [t or "" for t in TEXTS]
     for got, want in zip(encoder.batch(texts, 2), whole.batch(texts, 2), strict=True):
         assert (got == want).all()
+
+
+# ---- names that stages use inside, and cuts that are gone
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from shutterlake.llm.exact_dedup import drop_exact_duplicates
+    from shutterlake.llm.mixing import drop_unsampled
+
+    names = ["_rows", "_Keep", "_digest", "probability", "_chosen", "_probability"]
+    rows = [(i, prose(i % 7, 30), "en", "s1", *[f"{n}{i}" for n in names]) for i in range(10)] + [(None, "alone", "en", "s1", *names)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = drop_exact_duplicates(table)
+    assert kept.columns == table.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, [r for r in table.filter("doc_id >= 3").collect()] + [table.filter("doc_id is null").first()]))
+    sampled = drop_unsampled(table.filter("doc_id is not null"), {"source": {"s1": 1.0}, "lang": {"en": 1.0}, "topic": {"prose": 1.0}})
+    assert sampled.columns == [*table.columns, "probability_1"]
+    assert {r.probability for r in sampled.collect()} <= {f"probability{i}" for i in range(10)}
+
+
+def test_rules_are_mined_from_all_tokens_of_a_url(spark):
+    from shutterlake.llm.url_filter import Mining, judge
+
+    def deep(i):  # twelve tokens that no other URL has
+        return "/".join(chr(97 + i % 26) * (2 + i // 26) + chr(97 + j) for j in range(12))
+
+    rows = [(i, f"http://x.net/es/{deep(i)}/bad") for i in range(50)] + [(100, "http://z.org/q/bad"), (101, "http://z.org/q/good")]
+    out = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string"), p=Mining(support=0.3)).collect()}
+    assert (out[100].rule, out[100].verdict, out[100].by) == (None, "block", "path:bad")
+    assert (out[101].verdict, out[101].by) == ("allow", None)
