@@ -135,20 +135,18 @@ def test_stream_with_an_index_equals_whole_state(spark, tmp_path, small_buckets)
 
 
 def test_rows_read_stay_flat_while_the_state_grows(spark, tmp_path, small_buckets):
-    log = ingest_job.ingest_log(spark, str(tmp_path / "log"))
-    accounts = spark.createDataFrame([(1, "ann", 1, 1, None, None, None, 0, None, None)], ACCOUNTS)
-    ingest_job.seed_catalogue(log, catalogue(spark, [post(1, "a.jpg")]))
-    opened, kept = [], []
+    index = KeyIndex(spark, str(tmp_path / "index"), files_exist)
+    opened = []
     for batch in range(5):
-        rows = [("ann", i, str(10**11 + 1000 * batch + i), f"https://h/m/b{batch}i{i}", "photo", "2024-01-01", "", "") for i in range(20)]
-        items = spark.createDataFrame(rows, ITEMS)
-        fetched = items.select("url", F.lit(5).cast("long").alias("size"), F.lit(True).alias("ok"))
-        log.index.rows_read = 0
-        log.store(batch, ingest.ingest_pages(items, ingest_job.StoredState(log, batch, items, accounts), fetched, [], NOW)._asdict())
-        opened.append(log.index.rows_read)
-        kept.append(sum(sum(log.index.shape(r).rows.values()) for r in log.index.runs(batch + 1)))
-    assert log.read("posts").count() == 1 + 100
-    assert kept[-1] > 3 * kept[0] and max(opened[2:]) < 0.35 * kept[-1]
+        rows = [("media", f"b{batch}k{i}", None) for i in range(400)]
+        index.write(batch, spark.createDataFrame(rows, "kind string, key string, payload string"))
+        index.compact(batch)
+        asked = [("media", f"new{batch}k{i}") for i in range(40)] + [("media", f"b0k{i}") for i in range(3)]
+        index.rows_read = 0
+        assert index.find(spark.createDataFrame(asked, "kind string, key string"), batch + 1).count() == 3
+        opened.append(index.rows_read)
+    assert sum(sum(index.shape(r).rows.values()) for r in index.runs(5)) == 2000
+    assert max(opened) <= 400  # three buckets with a hit, and a few that only may have one
 
 
 def test_likes_over_many_batches(spark, tmp_path):
