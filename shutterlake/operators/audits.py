@@ -32,7 +32,10 @@ def last_crawl_text(accounts: DataFrame) -> DataFrame:
 
 
 def crawl_error_class(output: Column | str) -> Column:
-    """[C17] Kind of an extractor failure; the first that applies."""
+    """[C17] Kind of an extractor failure; the first that applies.
+
+    Fixed values: the texts and codes are those of the extractor's messages.
+    """
     output = F.col(output) if isinstance(output, str) else output
     lowered = F.lower(output)
 

@@ -439,10 +439,10 @@ query(
     ).select("id", "username")
 )
 LINKS = """,
-stored AS (SELECT DISTINCT l_suppkey * 1000000000 + l_orderkey AS id, 'acct' || l_suppkey AS account,
+stored AS MATERIALIZED (SELECT DISTINCT l_suppkey * 1000000000 + l_orderkey AS id, 'acct' || l_suppkey AS account,
   CAST(CAST(CAST(2039917506295648359 + 1000 * l_orderkey AS DOUBLE) AS BIGINT) AS VARCHAR) AS stored_id FROM lineitem),
-last_ids AS (SELECT account, CAST(tweet_id AS DOUBLE) AS num, arg_max(tweet_id, pos) AS true_id FROM timeline GROUP BY 1, 2),
-repairs AS (SELECT s.id, s.stored_id, t.true_id, 'https://x.com/' || s.account || '/status/' || t.true_id AS new_url
+last_ids AS MATERIALIZED (SELECT account, CAST(tweet_id AS DOUBLE) AS num, arg_max(tweet_id, pos) AS true_id FROM timeline GROUP BY 1, 2),
+repairs AS MATERIALIZED (SELECT s.id, s.stored_id, t.true_id, 'https://x.com/' || s.account || '/status/' || t.true_id AS new_url
   FROM stored s JOIN last_ids t ON t.account = s.account AND t.num = CAST(s.stored_id AS DOUBLE) WHERE t.true_id <> s.stored_id)"""
 
 

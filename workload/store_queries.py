@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.operators import filters, ingest, overview
@@ -11,6 +12,7 @@ from shutterlake.plans.overview import directory, known_total, stored_overview
 from shutterlake.schema import POST_TAGS, POSTS, TAGS
 from shutterlake.session import fresh_path
 from shutterlake.sources import folder_import, tables
+from shutterlake.sources import timeline as timeline_source
 from shutterlake.sources.snapshots import Snapshots
 from workload.change_queries import NOW, _feed, _fetched, _ingest_rules, _ingest_state
 from workload.queries import ORACLES, query, stamp
@@ -159,3 +161,39 @@ def _replay(v: Views) -> DataFrame:
 
 
 query("ingest_replay", " SELECT CAST(0 AS BIGINT) AS posts, CAST(0 AS BIGINT) AS links")(_replay)
+
+
+# --- the layout behind the pages ---------------------------------------------------
+
+query(
+    "page_zones",
+    """
+SELECT CAST(published AS BIGINT) AS published, strftime(date_trunc('day', created_at), '%Y-%m-%d-00') AS span, count(*) AS "rows",
+  count(*) FILTER (WHERE photo_count > 0) AS feed_photo, count(*) FILTER (WHERE video_count > 0) AS feed_video,
+  count(*) FILTER (WHERE photo_count > 0 AND video_count = 0) AS admin_photo, count(*) FILTER (WHERE video_count > 0) AS admin_video,
+  epoch_us(min(created_at)) AS low, epoch_us(max(created_at)) AS high, max(photo_bytes + video_bytes) AS most_bytes
+FROM posts GROUP BY 1, 2""",
+)(lambda v: v.store().read("zones"))
+
+# --- timeline pages as JSON --------------------------------------------------------
+
+PAGE = 40
+query(
+    "timeline_pages",
+    f"""
+SELECT account, CAST((pos - 1) // {PAGE} AS BIGINT) AS page, CAST((pos - 1) % {PAGE} AS BIGINT) AS place, tweet_id, url, type, date, content, nick FROM timeline""",
+)(lambda v: _timeline_pages(v))
+
+
+def _timeline_pages(v: Views) -> DataFrame:
+    """[S3] Line items written as pages of an account's timeline, one JSON document each, and read back."""
+    feed = W.partitionBy("account").orderBy("pos")
+    items = v.timeline().withColumn("_at", F.row_number().over(feed).cast("long") - 1)
+    person = F.struct("nick")
+    item = F.struct((F.col("_at") % PAGE).alias("place"), "tweet_id", "url", "type", "date", "content", person.alias("author"))
+    # A page has at most PAGE items.
+    pages_ = items.groupBy("account", F.floor(F.col("_at") / PAGE).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("media"))
+    path = fresh_path(v.spark, "timeline-pages")
+    pages_.select(F.upper("account").alias("account"), "page", F.transform("media", lambda m: m.dropFields("place")).alias("media")).write.json(path)
+    rows = timeline_source.explode_pages(timeline_source.read_pages(v.spark, path))
+    return rows.select("account", "pos.page", F.col("pos.place").cast("long").alias("place"), "tweet_id", "url", "type", "date", "content", "nick")
