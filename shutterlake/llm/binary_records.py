@@ -331,7 +331,7 @@ class Encoder:
         kinds = [n.get("type") for n in (parts["normalizer"] or {}).get("normalizers", [])]
         cut = [(c.get("type"), c.get("pattern", {}).get("Regex")) for c in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.cuts = kinds == ["NFC", "Replace", "Lowercase"] and cut == [("Split", self.PIECES), ("ByteLevel", None)] and parts["post_processor"] is None
-        self.added = tuple(t["content"] for t in parts["added_tokens"])
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in parts["added_tokens"]) or r"(?!)")
         self.forget()
 
     def forget(self) -> None:
@@ -340,7 +340,7 @@ class Encoder:
     def learn(self) -> None:
         """Encode the words that were numbered since the last call."""
         words = self.words.take_new()
-        cut = [self.cuts and w.isascii() and w.isprintable() and not any(a in w for a in self.added) for w in words]
+        cut = [self.cuts and w.isascii() and w.isprintable() and not self.added.search(w) for w in words]
         size = np.zeros(len(words), np.int64)
         parts = [self.ASCII_PIECES.findall(w.lower()) for w, c in zip(words, cut, strict=True) if c]
         numbers = self.pieces.number(chain.from_iterable(parts), sum(map(len, parts)))
