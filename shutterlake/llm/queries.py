@@ -20,7 +20,7 @@ from shutterlake.llm.secret_scan import digest, secrets
 from shutterlake.llm.suffix_dedup import repeated_spans
 from shutterlake.llm.token_counts import length_report
 from shutterlake.llm.toxicity import toxicity
-from shutterlake.llm.url_filter import judge
+from shutterlake.llm.url_filter import Mining, judge
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages"), p=Mining(unlisted=None))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

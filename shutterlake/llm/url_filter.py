@@ -1,10 +1,10 @@
 """URL filter: a curated rule list, and association rules mined from it for the URLs that it leaves open.
 
 A rule names a host and a path; it fits the host and its subdomains where the URL's path starts with the
-rule's, and the longest fitting rule decides.  That labels every URL: what the list blocks, and the rest.
-Spark's FP-growth mines token combinations of the URLs together with these labels; rules "tokens -> label" of
-enough support and confidence, of which none with fewer tokens is as sure, judge the URLs that the list
-leaves open.  So an open URL is blocked if its tokens are those of URLs of which nearly all are blocked.
+rule's, and the longest fitting rule decides.  The URLs that the list decides carry its verdict as their label;
+those that it leaves open have the label `Mining.unlisted`, or none and are not learned from (the query's way, for
+else the rules learn the default back).  Spark's FP-growth mines token combinations of the labelled URLs together with their labels; rules "tokens -> label" of enough support and confidence, of which none
+with fewer tokens is as sure, judge the open URLs.  So an open URL gets the verdict of the labelled URLs with its tokens.
 Rules are matched by an inverted index: each is filed under its rarest token, and looked up by the tokens of a URL.
 """
 
@@ -34,7 +34,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Mining:
-    """Least share of the URLs, and of those with a rule's tokens, that a rule needs.
+    """Least share of the labelled URLs, and of those with a rule's tokens, that a rule needs.
 
     All tokens of a URL are mined.  FP-growth drops those below the least support first; what is left of
     a URL are its common tokens, and the number of rules grows with how many of these come together.
@@ -42,6 +42,8 @@ class Mining:
 
     support: float = 0.002
     confidence: float = 0.9
+    # Label of the URLs that the list leaves open; None: nothing is learned from them.
+    unlisted: str | None = DEFAULT
 
 
 def host(url: Column) -> Column:
@@ -106,14 +108,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, p: Mi
     """One row per input row: `page_id`, `host`, `path`, `rule`, `verdict`, `by` (the mined rule's tokens), `confidence`.
 
     A null url, and one without "://", has an empty host and path, no tokens, and the default verdict, allow;
-    so have URLs that no rule fits.  Rows without page_id and repeated rows are judged like others.
+    so have URLs that no rule fits, all open ones where the list decides nothing.  Rows without page_id and repeated rows are judged like others.
     URLs of equal tokens are judged once.  An empty table gives no rows.
     """
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path"))
     rows = rows.withColumn("_by_list", curated(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("host"), F.col("path")))
     rows = materialise(rows, "urls")
-    labelled = rows.filter("size(tokens) > 0").select("tokens", F.coalesce("_by_list.verdict", F.lit(DEFAULT)).alias("verdict"))
+    label = F.coalesce("_by_list.verdict", F.lit(p.unlisted).cast("string"))
+    labelled = rows.filter("size(tokens) > 0").select("tokens", label.alias("verdict")).filter("verdict is not null")
     open_sets = rows.filter("_by_list is null and size(tokens) > 0").select("tokens").distinct()
     found = materialise(match(open_sets, mine(labelled, p)), "matched") if labelled.limit(1).count() else None
     listed = rows.filter("_by_list is not null or size(tokens) = 0").withColumns({"mined": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "needs": F.lit(None).cast("array<string>")})

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -84,6 +85,40 @@ def test_urls(spark):
     assert judge(pages.limit(0)).count() == 0
 
 
+def url_tokens(host, path):
+    labels, parts = [x for x in host.split(".") if x], [re.sub("[0-9]+", "#", x) for x in path.split("/") if x]
+    out = [f"top:{x}" for x in labels[-1:]] + [f"first:{x}" for x in parts[:1]] + [f"host:{x}" for x in labels[:-1]] + [f"path:{x}" for x in parts[1:]]
+    return frozenset(out)
+
+
+def test_open_urls_get_the_verdict_of_rules_found_by_brute_force(spark):
+    rng, p = random.Random(3), Mining(support=0.03, confidence=0.8, unlisted=None)
+    urls = []
+    for _ in range(400):
+        host = ".".join([rng.choice(["a", "b", "c"]), rng.choice(["example", "other", "shop"]), rng.choice(["com", "net", "org"])])
+        urls.append((host, "/" + rng.choice(["en", "es", "fr", "de"]) + "/" + rng.choice(["pills", "news", "x1", "x2"])))
+    got = judge(spark.createDataFrame([(i, f"http://{h}{q}") for i, (h, q) in enumerate(urls)], "page_id long, url string"), p=p).collect()
+    labelled = [(url_tokens(*urls[r.page_id]), r.verdict) for r in got if r.rule is not None]
+    assert 0 < len(labelled) < len(urls)
+    rules = {}
+    for verdict in ("allow", "block"):
+        for tokens in {frozenset(c) for t, v in labelled if v == verdict for n in range(1, len(t) + 1) for c in itertools.combinations(t, n)}:
+            have = [v for t, v in labelled if tokens <= t]
+            hits = have.count(verdict)
+            if hits >= p.support * len(labelled) and hits >= p.confidence * len(have):
+                rules[tokens, verdict] = (round(hits / len(have), 9), round(hits / len(labelled), 9))
+    kept = {k: v for k, v in rules.items() if not any(rules.get((k[0] - {x}, k[1]), (0,))[0] >= v[0] for x in k[0])}
+    changed = 0
+    for r in (r for r in got if r.rule is None):
+        fits = [(c, s, len(t), v, sorted(t)) for (t, v), (c, s) in kept.items() if t <= url_tokens(*urls[r.page_id])]
+        best = max(fits, default=None)
+        assert (r.verdict, r.by) == ((best[3], " ".join(best[4])) if best else ("allow", None))
+        changed += r.verdict == "block"
+    assert changed > 0  # verdicts that are not the default
+    without = judge(spark.createDataFrame([(1, "http://x.org/a"), (2, "http://y.org/a")], "page_id long, url string"), p=p).collect()
+    assert [(r.verdict, r.by) for r in without] == [("allow", None)] * 2
+
+
 def edited(rng, words, n):
     words = list(words)
     for _ in range(n):
