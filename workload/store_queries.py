@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shutterlake.operators import filters, ingest, overview
+from shutterlake.operators import changes, filters, ingest, overview
 from shutterlake.plans import pages
 from shutterlake.plans.overview import directory, known_total, stored_overview
 from shutterlake.schema import POST_TAGS, POSTS, TAGS
 from shutterlake.session import fresh_path
 from shutterlake.sources import folder_import, tables
 from shutterlake.sources import timeline as timeline_source
+from shutterlake.sources.catalogue_store import BUCKETS, CatalogueStore
 from shutterlake.sources.snapshots import Snapshots
 from workload.change_queries import NOW, _feed, _fetched, _ingest_rules, _ingest_state
 from workload.queries import ORACLES, query, stamp
@@ -90,6 +91,80 @@ query(
 )(_publish_changed)
 
 
+def _publish_touched(v: Views) -> DataFrame:
+    """[S8, M3, M5] Posts after two changes, their links and assets, and the version whose folder holds each."""
+    store = CatalogueStore(v.spark, fresh_path(v.spark, "catalogue-store"))
+    store.load(v.catalogue())
+    gone = v.table("labels").filter("toxic = 1").select((F.col("doc_id") + 1).alias("id"))
+    store.rewrite(gone, lambda cat: changes.delete_posts(cat, gone))
+    waiting = store.read("posts").filter("published = 0 AND likes > 80").select("id")
+    store.rewrite(waiting, lambda cat: cat._replace(posts=changes.approve(cat.posts, waiting)))
+
+    def per_post(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(F.col("post_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
+
+    held = F.regexp_extract(F.col("_metadata.file_path"), r"/v=(\d+)/posts/", 1).cast("long").alias("held_in")
+    posts = store.read("posts").select("id", "published", held)
+    joined = posts.join(per_post(store.read("post_tags"), "n_tags"), "id", "left").join(per_post(store.read("assets"), "n_assets"), "id", "left")
+    return joined.select("id", "published", "held_in", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tags", "n_assets")])
+
+
+query(
+    "publish_touched",
+    f""",
+gone AS (SELECT doc_id + 1 AS id FROM labels WHERE toxic = 1),
+waiting AS (SELECT id FROM posts WHERE published = 0 AND likes > 80 AND id NOT IN (SELECT id FROM gone)),
+links AS (SELECT post_id, count(*) AS n FROM post_tags GROUP BY 1),
+held AS (SELECT post_id, count(*) AS n FROM assets GROUP BY 1)
+SELECT p.id, CAST(CASE WHEN w.id IS NOT NULL THEN 1 ELSE p.published END AS BIGINT) AS published,
+  CAST(CASE WHEN p.id % {BUCKETS} IN (SELECT id % {BUCKETS} FROM waiting) THEN 2
+    WHEN p.id % {BUCKETS} IN (SELECT id % {BUCKETS} FROM gone) THEN 1 ELSE 0 END AS BIGINT) AS held_in,
+  coalesce(l.n, 0) AS n_tags, coalesce(h.n, 0) AS n_assets
+FROM posts p LEFT JOIN waiting w ON w.id = p.id LEFT JOIN links l ON l.post_id = p.id LEFT JOIN held h ON h.post_id = p.id
+WHERE p.id NOT IN (SELECT id FROM gone)""",
+)(_publish_touched)
+
+
+def _storage_after_ingest(v: Views) -> DataFrame:
+    """[M15, C13] The counter after a load, an arrival, an arrival that is refused, and a removal."""
+    posts = v.posts()
+    first, late = posts.filter("published = 1"), posts.filter("published = 0 AND likes < 50")
+    size = F.coalesce("photo_bytes", F.lit(0)) + F.coalesce("video_bytes", F.lit(0))
+    room = first.unionByName(late).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()[0]
+    store = CatalogueStore(v.spark, fresh_path(v.spark, "catalogue-store"), limit_bytes=room * 100 // 90 + 10)
+    cat = v.catalogue()
+    copies = first.withColumn("id", F.col("id") + 10_000_000)
+    gone = v.table("labels").filter("toxic = 1").select((F.col("doc_id") + 1).alias("id"))
+
+    def arrive(new: DataFrame):
+        return store.rewrite(new.select("id"), lambda old: old._replace(posts=old.posts.unionByName(new.select(*old.posts.columns))))
+
+    steps = [("load", store.load(cat._replace(posts=first)))]
+    steps.append(("arrival", arrive(late)))
+    steps.append(("refused", arrive(copies)))
+    steps.append(("removal", store.rewrite(gone, lambda old: changes.delete_posts(old, gone))))
+    rows = [(name, w.version, w.refused, w.total_bytes, store.read("posts", w.version).count()) for name, w in steps]
+    told = v.spark.createDataFrame(rows, "step string, version long, refused boolean, total_bytes long, n_posts long")
+    return told.join(store.history().select("version", "delta_bytes"), "version", "left")
+
+
+query(
+    "storage_after_ingest",
+    """,
+gone AS (SELECT doc_id + 1 AS id FROM labels WHERE toxic = 1),
+sized AS (SELECT *, photo_bytes + video_bytes AS b FROM posts),
+totals AS (
+  SELECT CAST(sum(b) FILTER (WHERE published = 1) AS BIGINT) AS s0, CAST(coalesce(sum(b) FILTER (WHERE published = 0 AND likes < 50), 0) AS BIGINT) AS b1,
+    CAST(coalesce(sum(b) FILTER (WHERE (published = 1 OR likes < 50) AND id IN (SELECT id FROM gone)), 0) AS BIGINT) AS d,
+    count(*) FILTER (WHERE published = 1) AS n0, count(*) FILTER (WHERE published = 0 AND likes < 50) AS n1,
+    count(*) FILTER (WHERE (published = 1 OR likes < 50) AND id IN (SELECT id FROM gone)) AS nd FROM sized)
+SELECT 'load' AS step, CAST(0 AS BIGINT) AS version, false AS refused, s0 AS total_bytes, n0 AS n_posts, s0 AS delta_bytes FROM totals
+UNION ALL SELECT 'arrival', 1, false, s0 + b1, n0 + n1, b1 FROM totals
+UNION ALL SELECT 'refused', 1, true, s0 + b1, n0 + n1, b1 FROM totals
+UNION ALL SELECT 'removal', 2, false, s0 + b1 - d, n0 + n1 - nd, -d FROM totals""",
+)(_storage_after_ingest)
+
+
 def _overview_version(v: Views) -> DataFrame:
     """[M16] The stored overview of a version, read a second time from its file."""
     store, _ = _stored(v)
