@@ -12,8 +12,12 @@ from shutterlake.functions.hashing import hash_to_hex, phash_from_coefficients
 from shutterlake.operators import changes, similarity
 from shutterlake.schema import Catalogue
 from shutterlake.session import materialise
+from shutterlake.sources import images
 from shutterlake.sources.images import dct_coefficients
 
+# Files one run opens at most.
+RUN_FILES = 10_000
+
 
 class Review(NamedTuple):
     """What a reviewer sees, and what can be applied."""
@@ -25,12 +29,12 @@ class Review(NamedTuple):
 
 def review(cat: Catalogue, threshold: int = similarity.DEFAULT_THRESHOLD) -> Review:
     """Cluster the hashed images of published posts; hashes are paired once for all parts."""
-    images = materialise(similarity.hashed_assets(cat.assets, cat.posts), "hashed")
-    groups = similarity.hash_groups(images)
+    hashed = materialise(similarity.hashed_assets(cat.assets, cat.posts), "hashed")
+    groups = similarity.hash_groups(hashed)
     pairs = materialise(similarity.similar_hashes(groups, threshold), "pairs")
-    clusters = similarity.cluster_posts(images, threshold, pairs=pairs)
+    clusters = similarity.cluster_posts(hashed, threshold, pairs=pairs)
     return Review(
-        similarity.verdicts(clusters), similarity.sample_pairs(images, pairs), similarity.pair_total(images, pairs)
+        similarity.verdicts(clusters), similarity.sample_pairs(hashed, pairs), similarity.pair_total(hashed, pairs)
     )
 
 
@@ -49,6 +53,10 @@ def hash_new_media(cat: Catalogue, pixels: DataFrame, limit: int | None = None)
     todo = similarity.unhashed_media(cat.posts, cat.assets).select("post_id", "key")
     if limit is not None:
         todo = todo.orderBy("post_id", "key").limit(limit)
+    return _hashes(todo, pixels)
+
+
+def _hashes(todo: DataFrame, pixels: DataFrame) -> DataFrame:
     joined = todo.join(pixels, "key", "left").withColumn("found", F.col("pixels").isNotNull())
     hashed = dct_coefficients(joined)
     reason = F.when(~F.col("found"), "image missing or unreadable").when(
@@ -61,5 +69,37 @@ def hash_new_media(cat: Catalogue, pixels: DataFrame, limit: int | None = None)
 
 def hash_backfill(cat: Catalogue, pixels: DataFrame, now: datetime, limit: int | None = None) -> Catalogue:
     """[X12, M9] Catalogue with the new hashes stored."""
-    new = hash_new_media(cat, pixels, limit).filter("phash is not null").withColumn("seq", F.lit(0))
+    return store_hashes(cat, hash_new_media(cat, pixels, limit), now)
+
+
+class Run(NamedTuple):
+    """One run of a backfill: the rows of `hash_new_media` for the files it opened, and how many these were."""
+
+    hashed: DataFrame
+    opened: int
+
+
+def hash_listed_media(cat: Catalogue, folder: str, limit: int = RUN_FILES, skip: DataFrame | None = None) -> Run:
+    """[X12, S5] Hash media without a stored hash from the files of a folder, opening no other file.
+
+    The folder is listed, not read; listed keys without a hash, in order of post and key, are opened until `limit`
+    files are reached: that many paths go through the driver.  `skip` (`key`) leaves out what failed before, so that
+    unreadable files do not fill every run.  A run that finds nothing to do opens none.
+    """
+    spark = cat.posts.sparkSession
+    todo = similarity.unhashed_media(cat.posts, cat.assets).select("post_id", "key")
+    if skip is not None:
+        todo = todo.join(skip.select("key").distinct(), "key", "left_anti")
+    # A key of several posts or folders is one file: the first path by name.
+    files = images.list_images(spark, folder).groupBy("key").agg(F.min("path").alias("path"))
+    first = todo.groupBy("key").agg(F.min("post_id").alias("first"))
+    chosen = first.join(files, "key").orderBy("first", "key").limit(limit).select("key", "path").collect()
+    keys = spark.createDataFrame([(r["key"],) for r in chosen], "key string")
+    pixels = images.read_listed(spark, [r["path"] for r in chosen])
+    return Run(_hashes(todo.join(F.broadcast(keys), "key", "left_semi"), pixels), len(chosen))
+
+
+def store_hashes(cat: Catalogue, hashed: DataFrame, now: datetime) -> Catalogue:
+    """[M9] Catalogue with the hashes of a run stored."""
+    new = hashed.filter("phash is not null").withColumn("seq", F.lit(0))
     return cat._replace(assets=changes.upsert_hashes(cat.assets, new, now))

@@ -6,6 +6,7 @@ here: grey 32x32 pixels to 64 cosine coefficients, in Arrow batches.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,10 +83,24 @@ def _squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": batch["key"], "pixels": grey})
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """[S5] (key, pixels) for every image that can be decoded; NULL pixels otherwise."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    flat = images.select(
-        F.regexp_extract("origin", r"([^/]+)\z", 1).alias("key"), "height", "width", "nChannels", "data"
-    )
+def read_pixels(spark: SparkSession, path: str | list[str], drop_invalid: bool = True) -> DataFrame:
+    """[S5] (key, pixels) of the images below a path; what cannot be decoded is left out, or has NULL pixels."""
+    images = spark.read.format("image").option("dropInvalid", drop_invalid).load(path).select("image.*")
+    # The source gives paths encoded like URLs.
+    origin = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))
+    flat = images.select(F.regexp_extract(origin, r"([^/]+)\z", 1).alias("key"), "height", "width", "nChannels", "data")
     return flat.mapInPandas(_squares, "key string, pixels array<int>")
+
+
+def list_images(spark: SparkSession, folder: str) -> DataFrame:
+    """[S5, S2] (key, path) of all files below a folder; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("key"), "path")
+
+
+def read_listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """[S5] (key, pixels) of just these files, with NULL pixels for what cannot be decoded."""
+    if not paths:
+        return spark.createDataFrame([], "key string, pixels array<int>")
+    # The source takes patterns; here every character stands for itself.
+    return read_pixels(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths], drop_invalid=False)

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from shutterlake.functions.hashing import phash_from_coefficients, signed
 from shutterlake.operators import ingest, tagging
 from shutterlake.schema import ACCOUNTS, POSTS
+from shutterlake.plans import near_duplicates
 from shutterlake.sources import folder_import, images, tables, timeline
 from shutterlake.sources.snapshots import BatchLog, Snapshots
 from shutterlake.streaming import ingest as ingest_job
 from shutterlake.streaming import likes
+from tests.test_catalogue import catalogue, post
 
 NOW = datetime(2024, 2, 1)
 
@@ -54,6 +56,30 @@ def test_image_hashes_from_files(spark, tmp_path):
     assert {r.key: r.h for r in hashed.collect()} == want
 
 
+def test_only_listed_images_without_a_hash_are_opened(spark, tmp_path):
+    grey = {f"{n}.bmp": np.random.default_rng(k).integers(0, 256, (32, 32)).tolist() for k, n in enumerate(("a[1]", "b {x}*?", "c", "d"))}
+    for name, rows in grey.items():
+        bmp(tmp_path / name, rows)
+    (tmp_path / "bad.bmp").write_bytes(b"no image")
+    posts = [post(1, "bad.bmp,a[1].bmp"), post(2, "b {x}*?.bmp,c.bmp,gone.bmp"), post(3, "c.bmp"), post(4, "d.bmp", published=0)]
+    cat = catalogue(spark, posts, assets=[(1, 9, "other.bmp", None, "0" * 16, 1, None)])
+    run = near_duplicates.hash_listed_media(cat, str(tmp_path), limit=2)
+    assert run.opened == 2 and {(r.key, r.phash is None) for r in run.hashed.collect()} == {("a[1].bmp", False), ("bad.bmp", True)}
+    cat = near_duplicates.store_hashes(cat, run.hashed, NOW)
+    failed = run.hashed.filter("phash is null")
+    run = near_duplicates.hash_listed_media(cat, str(tmp_path), skip=failed)
+    assert run.opened == 2 and {(r.post_id, r.key) for r in run.hashed.collect()} == {(2, "b {x}*?.bmp"), (2, "c.bmp"), (3, "c.bmp")}
+    cat = near_duplicates.store_hashes(cat, run.hashed, NOW)
+    stored = {r.key: int(r.phash, 16) for r in cat.assets.collect()}
+    for name in ("a[1].bmp", "b {x}*?.bmp", "c.bmp"):
+        assert stored[name] == plain_hash(grey[name]) % 2**64
+    last = near_duplicates.hash_listed_media(cat, str(tmp_path), skip=failed)
+    assert last.opened == 0 and last.hashed.count() == 0
+    assert near_duplicates.hash_listed_media(cat, str(tmp_path)).opened == 1  # what failed is tried again
+    listed = images.list_images(spark, str(tmp_path))
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString() and listed.count() == 5
+
+
 def test_larger_images_shrink_by_area(spark, tmp_path):
     small = np.arange(1024).reshape(32, 32) % 251
     bmp(tmp_path / "big.bmp", np.kron(small, np.ones((3, 3), dtype=int)).tolist())

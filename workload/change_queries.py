@@ -236,16 +236,20 @@ FROM coef c JOIN med m USING (vec_id) GROUP BY c.vec_id""",
 )(lambda v: _image_phash(v))
 
 
-def _image_phash(v: Views) -> DataFrame:
-    """Vectors drawn as 8x8 grey cells of 4x4 pixels, hashed like any image."""
+def drawn_cells(v: Views) -> DataFrame:
+    """Vectors drawn as 8x8 grey cells of 4x4 pixels: `vec_id`, `pixels`."""
     cell = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127).cast("int"))
     index = F.sequence(F.lit(0), F.lit(1023))
 
     def draw(cells):
         return F.transform(index, lambda i: cells[(F.floor(i / 128) * 8 + F.floor((i % 32) / 4)).cast("int")])
 
-    drawn = v.table("embeddings").select("vec_id", F.transform(F.array(cell), draw)[0].alias("pixels"))
-    coefficients = image_source.dct_coefficients(drawn)
+    return v.table("embeddings").select("vec_id", F.transform(F.array(cell), draw)[0].alias("pixels"))
+
+
+def _image_phash(v: Views) -> DataFrame:
+    """Drawn vectors, hashed like any image."""
+    coefficients = image_source.dct_coefficients(drawn_cells(v))
     return coefficients.select("vec_id", hashing.phash_from_coefficients("coefficients").alias("hash"))
 
 

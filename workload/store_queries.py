@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shutterlake.functions import hashing
 from shutterlake.operators import changes, filters, ingest, overview
-from shutterlake.plans import pages
+from shutterlake.plans import near_duplicates, pages
 from shutterlake.plans.overview import directory, known_total, stored_overview
 from shutterlake.schema import POST_TAGS, POSTS, TAGS
-from shutterlake.session import fresh_path
+from shutterlake.session import fresh_path, materialise
 from shutterlake.sources import folder_import, tables
 from shutterlake.sources import timeline as timeline_source
 from shutterlake.sources.catalogue_store import BUCKETS, CatalogueStore
 from shutterlake.sources.snapshots import Snapshots
-from workload.change_queries import NOW, _feed, _fetched, _ingest_rules, _ingest_state
+from workload.change_queries import NOW, _feed, _fetched, _ingest_rules, _ingest_state, drawn_cells
 from workload.queries import ORACLES, query, stamp
 from workload.views import Views
 
@@ -131,7 +136,7 @@ def _storage_after_ingest(v: Views) -> DataFrame:
     first, late = posts.filter("published = 1"), posts.filter("published = 0 AND likes < 50")
     size = F.coalesce("photo_bytes", F.lit(0)) + F.coalesce("video_bytes", F.lit(0))
     room = first.unionByName(late).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()[0]
-    store = CatalogueStore(v.spark, fresh_path(v.spark, "catalogue-store"), limit_bytes=room * 100 // 90 + 10)
+    store = CatalogueStore(v.spark, fresh_path(v.spark, "catalogue-store"), buckets=32, limit_bytes=room * 100 // 90 + 10)
     cat = v.catalogue()
     copies = first.withColumn("id", F.col("id") + 10_000_000)
     gone = v.table("labels").filter("toxic = 1").select((F.col("doc_id") + 1).alias("id"))
@@ -272,3 +277,75 @@ def _timeline_pages(v: Views) -> DataFrame:
     pages_.select(F.upper("account").alias("account"), "page", F.transform("media", lambda m: m.dropFields("place")).alias("media")).write.json(path)
     rows = timeline_source.explode_pages(timeline_source.read_pages(v.spark, path))
     return rows.select("account", "pos.page", F.col("pos.place").cast("long").alias("place"), "tweet_id", "url", "type", "date", "content", "nick")
+
+
+def _save(rows: DataFrame, folder: str) -> None:
+    """Write (`name`, `data`) as one file each; a task that runs again writes the same files."""
+
+    def save(batches):
+        for batch in batches:
+            files, root = pyarrow.fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+            files.create_dir(root)
+            for name, data in zip(batch["name"], batch["data"]):
+                with files.open_output_stream(f"{root}/{name}") as out:
+                    out.write(data)
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    rows.mapInPandas(save, "files long").agg(F.sum("files")).collect()
+
+
+def _draw(pixels: list[int]) -> bytes:
+    """A 32x32 grey image as an uncompressed 24-bit BMP file (bottom row first)."""
+    rows = [pixels[i : i + 32] for i in range(0, 1024, 32)]
+    body = b"".join(bytes(p for grey in row for p in (grey,) * 3) for row in reversed(rows))
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(body), 0, 0, 54, 40, 32, 32, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def _hash_listed(v: Views) -> DataFrame:
+    """[X12, S5, J8] Vectors drawn as image files, a third of them hashed before; runs until one opens no file."""
+    folder = fresh_path(v.spark, "images")
+
+    def files(batches):
+        for batch in batches:
+            yield pd.DataFrame({"name": [f"v{n}.bmp" for n in batch["vec_id"]], "data": [_draw(list(p)) for p in batch["pixels"]]})
+
+    _save(drawn_cells(v).mapInPandas(files, "name string, data binary"), folder)
+    keys = F.transform(F.array("id"), lambda i: F.format_string("v%d.bmp", i - 1))
+    posts = v.posts().withColumn("media_keys", keys)
+    known = v.table("embeddings").filter("vec_id % 3 = 0").select(
+        F.col("vec_id").alias("id"), (F.col("vec_id") + 1).alias("post_id"), F.format_string("v%d.bmp", "vec_id").alias("key"),
+        F.lit(None).cast("string").alias("etag"), F.lit("0" * 16).alias("phash"), F.lit(1).alias("phash_version"), F.lit(None).cast("timestamp").alias("hashed_at"),
+    )
+    cat = v.catalogue()._replace(posts=materialise(posts, "posts"), assets=known)
+    opened = 0
+    while (run := near_duplicates.hash_listed_media(cat, folder, limit=1_000)).opened:
+        opened += run.opened
+        cat = near_duplicates.store_hashes(cat, run.hashed, NOW)
+        cat = cat._replace(assets=materialise(cat.assets, "assets"))
+    new = cat.assets.filter("hashed_at is not null")
+    return new.select("post_id", "key", hashing.hash_from_hex("phash").alias("hash"), F.lit(opened).cast("long").alias("opened"))
+
+
+_DRAWN = ORACLES["image_phash"]
+_AT = _DRAWN.rindex("SELECT c.vec_id")
+ORACLES["hash_listed"] = f"""{_DRAWN[:_AT].rstrip()},
+drawn AS ({_DRAWN[_AT:]}),
+fresh AS (SELECT p.id AS post_id, 'v' || d.vec_id || '.bmp' AS key, d.hash FROM drawn d JOIN posts p ON p.id = d.vec_id + 1
+  WHERE p.published = 1 AND d.vec_id % 3 <> 0)
+SELECT *, (SELECT count(*) FROM fresh) AS opened FROM fresh"""
+query("hash_listed")(_hash_listed)
+
+
+def _object_listing(v: Views) -> DataFrame:
+    """[S2] Texts as objects of a folder, listed with sizes and digests, and once more with no object opened."""
+    folder = fresh_path(v.spark, "objects")
+    _save(v.table("documents").select(F.format_string("d%d.txt", "doc_id").alias("name"), F.col("text").cast("binary").alias("data")), folder)
+    sizes = tables.list_objects(v.spark, folder, with_etag=False).select("key", F.col("size").alias("listed_size"))
+    return tables.list_objects(v.spark, folder).join(sizes, "key")
+
+
+query(
+    "object_listing",
+    """
+SELECT 'd' || doc_id || '.txt' AS key, md5(text) AS etag, CAST(strlen(text) AS BIGINT) AS size, CAST(strlen(text) AS BIGINT) AS listed_size FROM documents""",
+)(_object_listing)
