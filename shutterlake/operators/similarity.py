@@ -7,6 +7,7 @@ and linking hashes links exactly the same posts as linking images would.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -26,16 +27,23 @@ from shutterlake.functions.hashing import (
     similarity_text,
 )
 from shutterlake.functions.media import is_video
+from shutterlake.operators.blocks import forest, near_pairs
 from shutterlake.operators.components import connected_components
 from shutterlake.operators.skew import heaviest, hot_keys, salted_join
 from shutterlake.session import materialise
 
 DEFAULT_THRESHOLD = 10
+# Hashes of a post that are paired off among themselves.
+PAIRED_HASHES = 200
 SAMPLE_PAIRS = 100
+# Columns of `hash_groups` that tell whether two hashes are of one post only.
+POSTS_OF_HASH = ("low_post", "high_post")
 # Flips tried per hash and bit mask tables stay this small.
 MAX_PROBES = 5_000
 # Cost of sending one probe through a shuffle, in comparisons of two hashes.
 PROBE_COST = 100
+# Cost of comparing two hashes of two blocks, in comparisons after a shuffle.
+BLOCK_COST = 0.02
 # Hashes sharing a word from which a second word is used.
 CROWDED_ROWS = 20_000
 # At most so many buckets are split this way: about a megabyte to broadcast.
@@ -92,6 +100,11 @@ def choose_words(threshold: int, n_hashes: float, bits: int = HASH_BITS) -> int:
 
     Fewer, longer words mean more probes per hash but fewer false candidates.
     """
+    return _cheapest_words(threshold, n_hashes, bits)[0]
+
+
+def _cheapest_words(threshold: int, n_hashes: float, bits: int = HASH_BITS) -> tuple[int, float]:
+    """Number of words, and its cost for one hash."""
     best, best_cost = min(16, threshold + 1), float("inf")
     for words in range(1, min(16, threshold + 1) + 1):
         plan = word_plan(threshold, words, bits)
@@ -102,7 +115,7 @@ def choose_words(threshold: int, n_hashes: float, bits: int = HASH_BITS) -> int:
         cost = PROBE_COST * probes + candidates
         if probes <= MAX_PROBES and cost < best_cost:
             best, best_cost = words, cost
-    return best
+    return best, best_cost
 
 
 def _cut(h: Column, shift: Column, ones: Column) -> Column:
@@ -137,18 +150,24 @@ def similar_hashes(
     threshold: int = DEFAULT_THRESHOLD,
     words: int | None = None,
     crowded_rows: int = CROWDED_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """[J10] (hash_a, hash_b, distance) for all distinct hashes within `threshold`, once each.
 
-    An equi-join of words: one side as stored, the other with every flip up to the
+    Columns of `groups` named by `carry` come along as `<name>_a` and `<name>_b`.  Where the threshold is so wide
+    that words leave too many candidates, all hashes are compared block by block (`operators.blocks`), unless
+    `words` is given.  Else an equi-join of words: one side as stored, the other with every flip up to the
     word's radius.  Where very many hashes share a word, that bucket is not paired
     off; its hashes are joined on a second word as well, cut from their other bits
     by the same rule with the flips left over.  Exact for every threshold.
     """
     if not 0 <= threshold < HASH_BITS:
         raise ValueError("threshold must lie between 0 and 63")
-    hashes = materialise(groups.select("hash"), "hashes")
-    n_hashes = max(hashes.count(), 2)
+    described = materialise(groups.select("hash", *carry), "hashes")
+    n_hashes = max(described.count(), 2)
+    if words is None and n_hashes / 2 * BLOCK_COST < _cheapest_words(threshold, n_hashes)[1]:
+        return near_pairs(described, threshold, n_hashes)
+    hashes = described.select("hash")
     plan = word_plan(threshold, words or choose_words(threshold, n_hashes))
     inner_words = [
         choose_words(threshold, n_hashes / 3, HASH_BITS - width) if width < HASH_BITS else 1 for _, width, _ in plan
@@ -179,7 +198,11 @@ def similar_hashes(
     outer_first = _first_word(flips, F.col("outer_plan")) == F.col("word")
     inner_first = _first_word(_rotated(flips, F.col("turn")), F.col("inner_plan")) == F.col("sub")
     once = outer_first & ((F.col("sub") == -1) | inner_first)
-    return close.filter(once).select("hash_a", "hash_b", hamming(a, b).alias("distance"))
+    pairs = close.filter(once).select("hash_a", "hash_b", hamming(a, b).alias("distance"))
+    for x in "ab" if carry else "":
+        side = described.select(F.col("hash").alias(f"hash_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in carry])
+        pairs = pairs.join(side, f"hash_{x}")
+    return pairs
 
 
 def _literal_table(spark: SparkSession, rows: list[tuple], fields: list[tuple]) -> DataFrame:
@@ -259,7 +282,11 @@ def _plan_tables(
 
 
 def linked_hashes(groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """[X4] Pairs of hashes that link at least two different posts."""
+    """[X4] Pairs of hashes that link at least two different posts; `pairs` may carry `POSTS_OF_HASH`."""
+    if all(f"{c}_{x}" in pairs.columns for c in POSTS_OF_HASH for x in "ab"):
+        posts = [F.col(f"{c}_{x}") for x in "ab" for c in POSTS_OF_HASH]
+        single = (posts[0] == posts[1]) & (posts[2] == posts[3]) & (posts[0] == posts[2])
+        return pairs.filter(~single).select("hash_a", "hash_b", "distance")
     side = groups.select("hash", "low_post", "high_post")
     a = side.select(F.col("hash").alias("hash_a"), F.col("low_post").alias("la"), F.col("high_post").alias("ha"))
     b = side.select(F.col("hash").alias("hash_b"), F.col("low_post").alias("lb"), F.col("high_post").alias("hb"))
@@ -276,14 +303,15 @@ def describe_pairs(pairs: DataFrame) -> DataFrame:
 # --- totals -----------------------------------------------------------------------
 
 
-def pair_total(images: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_total(images: DataFrame, pairs: DataFrame, threshold: int | None = None) -> DataFrame:
     """[A14] Exact number of similar pairs of images in different posts, without the pairs.
 
     Inside a hash: n(n-1)/2 minus the pairs within one post.  Between two hashes: the
     product of their sizes minus, over posts in both, the product of the post's
-    images.  Shared posts are looked up from the hash with fewer posts.
+    images.  If `pairs` carries the sizes (`n`), it is not shuffled for them.  With the pairs' `threshold`, shared posts of
+    at most `PAIRED_HASHES` hashes are found from the posts; others are looked up from the hash with fewer posts.
     """
-    per_post = images.groupBy("hash", "post_id").agg(F.count(F.lit(1)).alias("c"))
+    per_post = materialise(images.groupBy("hash", "post_id").agg(F.count(F.lit(1)).alias("c")), "per-post")
     c, n = F.col("c").cast("decimal(38,0)"), F.col("n").cast("decimal(38,0)")
     sizes = per_post.groupBy("hash").agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("posts"), F.sum(c * (c - 1)).alias("twice_inside")
@@ -293,17 +321,33 @@ def pair_total(images: DataFrame, pairs: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         return sizes.select(F.col("hash").alias(f"hash_{x}"), F.col("n").alias(f"n_{x}"), F.col("posts").alias(f"p_{x}"))
 
-    sized = pairs.select("hash_a", "hash_b").join(side("a"), "hash_a").join(side("b"), "hash_b")
+    sized = pairs
+    if "n_a" not in pairs.columns:
+        sized = pairs.select("hash_a", "hash_b").join(side("a").drop("p_a"), "hash_a").join(side("b").drop("p_b"), "hash_b")
     n_a, n_b = F.col("n_a").cast("decimal(38,0)"), F.col("n_b").cast("decimal(38,0)")
     between = sized.select((n_a * n_b).alias("amount"))
-    a_smaller = F.col("p_a") <= F.col("p_b")
-    ends = sized.select(
-        F.when(a_smaller, F.col("hash_a")).otherwise(F.col("hash_b")).alias("hash"),
-        F.when(a_smaller, F.col("hash_b")).otherwise(F.col("hash_a")).alias("other"),
-    )
-    other = per_post.select(F.col("hash").alias("other"), "post_id", F.col("c").alias("c_other"))
-    shared = ends.join(per_post, "hash").join(other, ["other", "post_id"])
-    overlap = shared.select((-c * F.col("c_other")).alias("amount"))
+    hashes_of = per_post.groupBy("post_id").agg(F.count(F.lit(1)).alias("_hashes"))
+    paired = PAIRED_HASHES if threshold is not None else 1
+    light = per_post.join(hashes_of.filter(F.col("_hashes").between(2, paired)).select("post_id"), "post_id")
+    a = light.select("post_id", F.col("hash").alias("hash_a"), F.col("c").alias("c_a"))
+    b = light.select("post_id", F.col("hash").alias("hash_b"), F.col("c").alias("c_b"))
+    own = a.join(b, "post_id").filter((F.col("hash_a") < F.col("hash_b")) & (hamming(F.col("hash_a"), F.col("hash_b")) <= (threshold or 0)))
+    overlap = own.select((-F.col("c_a").cast("decimal(38,0)") * F.col("c_b")).alias("amount"))
+    # Posts of very many hashes are not paired off: their hashes are looked up from the pairs.
+    heavy = materialise(hashes_of.filter(F.col("_hashes") > paired).select("post_id"), "heavy-posts")
+    if not heavy.isEmpty():
+        crowded = per_post.join(heavy, "post_id", "left_semi")
+        known = crowded.select("hash").distinct()
+        met = pairs.select("hash_a", "hash_b").join(known.withColumnRenamed("hash", "hash_a"), "hash_a", "left_semi").join(known.withColumnRenamed("hash", "hash_b"), "hash_b", "left_semi")
+        met = met.join(side("a").drop("n_a"), "hash_a").join(side("b").drop("n_b"), "hash_b")
+        a_smaller = F.col("p_a") <= F.col("p_b")
+        ends = met.select(
+            F.when(a_smaller, F.col("hash_a")).otherwise(F.col("hash_b")).alias("hash"),
+            F.when(a_smaller, F.col("hash_b")).otherwise(F.col("hash_a")).alias("other"),
+        )
+        other = crowded.select(F.col("hash").alias("other"), "post_id", F.col("c").alias("c_other"))
+        shared = ends.join(crowded, "hash").join(other, ["other", "post_id"])
+        overlap = overlap.unionByName(shared.select((-c * F.col("c_other")).alias("amount")))
     amounts = [x.select(F.col("amount").cast("decimal(38,0)")) for x in (within, between, overlap)]
     every = amounts[0].unionByName(amounts[1]).unionByName(amounts[2])
     return every.agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("long").alias("total_pairs"))
@@ -318,8 +362,8 @@ def cluster_posts(
     """[X5] (component, post_id, likes): the posts of every cluster of similar images."""
     images = materialise(images.select("hash", "post_id", "likes"), "images")
     groups = hash_groups(images)
-    links = linked_hashes(groups, similar_hashes(groups, threshold, words) if pairs is None else pairs)
-    parts = connected_components(links, "hash_a", "hash_b")
+    links = linked_hashes(groups, similar_hashes(groups, threshold, words, carry=POSTS_OF_HASH) if pairs is None else pairs)
+    parts = connected_components(forest(links, ("hash_a", "hash_b")), "hash_a", "hash_b")
     # A hash shared by many posts has one row on the small side of this join.
     counts = groups.select("hash", "n")
     hot = heaviest(counts, ["hash"], "n")

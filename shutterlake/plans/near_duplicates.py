@@ -31,10 +31,10 @@ def review(cat: Catalogue, threshold: int = similarity.DEFAULT_THRESHOLD) -> Rev
     """Cluster the hashed images of published posts; hashes are paired once for all parts."""
     hashed = materialise(similarity.hashed_assets(cat.assets, cat.posts), "hashed")
     groups = similarity.hash_groups(hashed)
-    pairs = materialise(similarity.similar_hashes(groups, threshold), "pairs")
+    pairs = materialise(similarity.similar_hashes(groups, threshold, carry=(*similarity.POSTS_OF_HASH, "n")), "pairs")
     clusters = similarity.cluster_posts(hashed, threshold, pairs=pairs)
     return Review(
-        similarity.verdicts(clusters), similarity.sample_pairs(hashed, pairs), similarity.pair_total(hashed, pairs)
+        similarity.verdicts(clusters), similarity.sample_pairs(hashed, pairs), similarity.pair_total(hashed, pairs, threshold)
     )
 
 

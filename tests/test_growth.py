@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import random
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
-from shutterlake.operators import timeline
+from shutterlake.functions.hashing import signed
+from shutterlake.operators import blocks, timeline
+from shutterlake.operators import similarity as sim
+from shutterlake.operators.components import connected_components
 
 
 def _plan(df) -> str:
@@ -31,3 +37,52 @@ def test_items_of_a_post_are_shuffled_once(spark):
 def test_first_item_with_a_place_wins(spark):
     got = timeline.first_seen(_items(spark)).select("account", "tweet_id", "media_id", "pos").collect()
     assert sorted(map(tuple, got)) == [("a", "7", "u/1.png", 1), ("a", "7", "u/2.png", 3), ("a", "8", "u/3.png", 9), ("b", "7", "u/1.png", 1)]
+
+
+def _hashes(n: int) -> list[int]:
+    rng = random.Random(n)
+    near = [rng.getrandbits(64) for _ in range(n // 2)]
+    return sorted({signed(h) for h in near} | {signed(h ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)) for h in near})
+
+
+def _near(hashes: list[int], threshold: int) -> list[tuple[int, int, int]]:
+    bits = [(a, b, ((a ^ b) & (1 << 64) - 1).bit_count()) for a, b in combinations(hashes, 2)]
+    return sorted(p for p in bits if p[2] <= threshold)
+
+
+def test_blocks_find_each_pair_once(spark):
+    hashes = _hashes(120)
+    groups = spark.createDataFrame([(h, i, None if i % 3 else i) for i, h in enumerate(hashes)], "hash long, n long, low long")
+    place = {h: i for i, h in enumerate(hashes)}
+    for block in (20, 1000):
+        got = sorted(map(tuple, blocks.near_pairs(groups, 24, len(hashes), block).collect()))
+        assert [g[:3] for g in got] == _near(hashes, 24)
+        assert all(g[3:5] == (place[g[0]], place[g[1]]) and g[5] == (None if g[3] % 3 else g[3]) for g in got)
+
+
+def test_wide_thresholds_are_compared_in_blocks_and_narrow_ones_joined(spark):
+    groups = spark.createDataFrame([(h,) for h in _hashes(60)], "hash long")
+    assert "MapInArrow" in _plan(sim.similar_hashes(groups, 20))
+    assert sim._cheapest_words(3, 1_000_000)[1] < 1_000_000 / 2 * sim.BLOCK_COST
+    joined = sim.similar_hashes(groups, 20, words=4, carry=()).collect()
+    assert sorted(map(tuple, joined)) == sorted(map(tuple, sim.similar_hashes(groups, 20).collect()))
+
+
+def test_a_task_joins_its_links_first(spark):
+    rows = [(i, i + 1) for i in range(50)] + [(i, j) for i in range(100, 120) for j in range(100, 120)] + [(None, 3)]
+    links = spark.createDataFrame(rows, "a long, b long").coalesce(1)
+    stars = blocks.forest(links, ("a", "b"))
+    assert sorted(map(tuple, stars.collect())) == [(0, i) for i in range(1, 51)] + [(100, i) for i in range(101, 120)]
+    assert {r.component for r in connected_components(stars, "a", "b").collect()} == {0, 100}
+
+
+def test_pair_total_of_posts_with_many_hashes(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(6), f"k{i}", h) for i, h in enumerate(_hashes(80)) for _ in range(1 + i % 3)]
+    want = sum(1 for a, b in combinations(rows, 2) if a[0] != b[0] and ((a[2] ^ b[2]) & (1 << 64) - 1).bit_count() <= 26)
+    images = spark.createDataFrame(rows, "post_id long, key string, hash long")
+    pairs = sim.similar_hashes(sim.hash_groups(images), 26, carry=["n"])
+    for most in (3, 200):
+        monkeypatch.setattr(sim, "PAIRED_HASHES", most)
+        assert sim.pair_total(images, pairs, 26).first()[0] == want
+    assert sim.pair_total(images, pairs.select("hash_a", "hash_b", "distance")).first()[0] == want

@@ -288,7 +288,7 @@ image_pairs AS (SELECT a.post_id AS pa, a.key AS ka, a.likes AS la, a.title AS t
 
 def _links(v: Views, threshold: int) -> DataFrame:
     groups = materialise(similarity.hash_groups(v.images()), "groups")
-    return similarity.linked_hashes(groups, similarity.similar_hashes(groups, threshold))
+    return similarity.linked_hashes(groups, similarity.similar_hashes(groups, threshold, carry=similarity.POSTS_OF_HASH))
 
 
 for _t in (3, 10, 20):
@@ -305,7 +305,7 @@ query("pair_total", IMAGE_PAIRS.format(t=18) + " SELECT count(*) AS total_pairs
 
 def _pair_total(v: Views) -> DataFrame:
     images = materialise(v.images(), "images")
-    return similarity.pair_total(images, similarity.similar_hashes(similarity.hash_groups(images), 18))
+    return similarity.pair_total(images, similarity.similar_hashes(similarity.hash_groups(images), 18, carry=["n"]), 18)
 
 
 query(
