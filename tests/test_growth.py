@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from shutterlake.functions.hashing import signed
-from shutterlake.operators import blocks, timeline
+from shutterlake.operators import blocks, ingest, timeline
 from shutterlake.operators import similarity as sim
 from shutterlake.operators.components import connected_components
 
@@ -86,3 +86,19 @@ def test_pair_total_of_posts_with_many_hashes(spark, monkeypatch):
         monkeypatch.setattr(sim, "PAIRED_HASHES", most)
         assert sim.pair_total(images, pairs, 26).first()[0] == want
     assert sim.pair_total(images, pairs.select("hash_a", "hash_b", "distance")).first()[0] == want
+
+
+def test_keys_are_indexed_by_grams_that_names_can_have(spark):
+    posts = spark.createDataFrame([("a", ["a_2039917506295648359_1.MP4", "x_y.png", None]), ("b", ["aaaaaaaaaa"])], "author string, media_keys array<string>")
+    got = ingest.key_grams(posts, 8).groupBy("key").agg(F.sort_array(F.collect_list("gram")).alias("g")).collect()
+    grams = {r.key: r.g for r in got}
+    number = "2039917506295648359"
+    assert grams["a_2039917506295648359_1.mp4"] == sorted(number[i : i + 8] for i in range(12))
+    assert grams["x_y.png"] == [""] and grams["aaaaaaaaaa"] == ["aaaaaaaa"]
+
+
+def test_names_are_found_by_grams_of_their_pieces(spark):
+    names = ["2039917506295648359_1.mp4", "9175062956483_9", "y.png", "_", "nothing_here.png", "36"]
+    new = spark.createDataFrame([(n, "a", n) for n in names], "ref string, author string, name string")
+    posts = spark.createDataFrame([("a", ["a_2039917506295648359_1.MP4", "x_y.png"])], "author string, media_keys array<string>")
+    assert sorted(r.ref for r in ingest.names_in_keys(new, posts).collect()) == sorted(["2039917506295648359_1.mp4", "9175062956483_9", "y.png", "_"])
