@@ -6,9 +6,10 @@ import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from shutterlake.functions.hashing import signed
-from shutterlake.operators import blocks, ingest, timeline
+from shutterlake.operators import blocks, ingest, tagging, timeline
 from shutterlake.operators import similarity as sim
 from shutterlake.operators.components import connected_components
 
@@ -102,3 +103,15 @@ def test_names_are_found_by_grams_of_their_pieces(spark):
     new = spark.createDataFrame([(n, "a", n) for n in names], "ref string, author string, name string")
     posts = spark.createDataFrame([("a", ["a_2039917506295648359_1.MP4", "x_y.png"])], "author string, media_keys array<string>")
     assert sorted(r.ref for r in ingest.names_in_keys(new, posts).collect()) == sorted(["2039917506295648359_1.mp4", "9175062956483_9", "y.png", "_"])
+
+
+def test_texts_are_tagged_from_arrow_buffers(spark):
+    posts = spark.createDataFrame([(1, "Stone by the sea"), (2, None), (3, ""), (4, "stones 42"), (5, "cut STONE 7")], "id long, description string")
+    rules = [tagging.Rule("Stone", (("word", "stone"),), "Rare"), tagging.Rule("number", (("regex", "[0-9]+"),))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        tagged = posts.coalesce(1).select("id", tagging.tag_column("description", rules).alias("t"))
+        assert {r.id: r.t for r in tagged.collect()} == {1: ["Rare", "Stone"], 2: [], 3: [], 4: ["number"], 5: ["Rare", "Stone", "number"]}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert f'"evalType":{PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}' in tagged._jdf.queryExecution().analyzed().toJSON().replace(" ", "")
