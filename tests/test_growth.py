@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from itertools import combinations
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
@@ -12,6 +13,7 @@ from shutterlake.functions.hashing import signed
 from shutterlake.operators import blocks, ingest, tagging, timeline
 from shutterlake.operators import similarity as sim
 from shutterlake.operators.components import connected_components
+from workload import store_queries
 
 
 def _plan(df) -> str:
@@ -115,3 +117,13 @@ def test_texts_are_tagged_from_arrow_buffers(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert f'"evalType":{PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}' in tagged._jdf.queryExecution().analyzed().toJSON().replace(" ", "")
+
+
+def test_timeline_pages_are_written_compressed(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "pages")
+    monkeypatch.setattr(store_queries, "fresh_path", lambda *_: path)
+    rows = [("acct1", i, f"{i}", f"https://media.example/1/{i}.gif", "photo", "2024-01-01 00:00:00", "item", "nick") for i in range(90)]
+    items = spark.createDataFrame(rows, "account string, pos int, tweet_id string, url string, type string, date string, content string, nick string")
+    read = store_queries._timeline_pages(SimpleNamespace(spark=spark, timeline=lambda: items)).collect()
+    assert sorted((r.page, r.place, r.tweet_id) for r in read) == [(i // 40, i % 40, str(i)) for i in range(90)]
+    assert [*tmp_path.glob("pages/*.json.gz")] and not [*tmp_path.glob("pages/*.json")]

@@ -274,7 +274,7 @@ def _timeline_pages(v: Views) -> DataFrame:
     # A page has at most PAGE items.
     pages_ = items.groupBy("account", F.floor(F.col("_at") / PAGE).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("media"))
     path = fresh_path(v.spark, "timeline-pages")
-    pages_.select(F.upper("account").alias("account"), "page", F.transform("media", lambda m: m.dropFields("place")).alias("media")).write.json(path)
+    pages_.select(F.upper("account").alias("account"), "page", F.transform("media", lambda m: m.dropFields("place")).alias("media")).write.option("compression", "gzip").json(path)
     rows = timeline_source.explode_pages(timeline_source.read_pages(v.spark, path))
     return rows.select("account", "pos.page", F.col("pos.place").cast("long").alias("place"), "tweet_id", "url", "type", "date", "content", "nick")
 
