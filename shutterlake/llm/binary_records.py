@@ -42,15 +42,14 @@ from shutterlake.session import fresh_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 # Text of so many bytes is encoded and written at a time.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 4 << 20
 # A partition reads about so many bytes of records.
 SPLIT_BYTES = 32 << 20
-# Words remembered with their ids by a Python worker; all are forgotten when there are more.
-REMEMBERED = 500_000
+# Words and pieces remembered with their ids by a Python worker; all are forgotten when there are more.
+REMEMBERED = 300_000
 # Fixed values of the framing: the polynomial of CRC-32C (reflected), and the constant of masked sums.
 POLYNOMIAL = 0x82F63B78
 MASK = 0xA282EAD8
-WRITTEN = "doc_id long, ids binary"
 READ = "doc_id long, start long, n_tokens long, ids array<int>"
 
 
@@ -161,25 +160,21 @@ class Shard(WriterCommitMessage):
 class RecordWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.width = options["path"], int(options.get("width", "4"))
+        self.vocabulary, self.end, self.whole = options.get("vocabulary"), int(options.get("end", END_ID)), options.get("whole") == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Shard:
-        """One shard for a task; places follow the order of partitions."""
+        """One shard for a task; places follow the order of partitions.  Texts are encoded here, so their ids take no way through Spark."""
         place = TaskContext.get().partitionId()
         name = f"part-{place:06d}-{uuid.uuid4().hex}"
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
         records = tokens = size = 0
         with fs.open_output_stream(f"{root}/{name}.rec") as out, fs.open_output_stream(f"{root}/{name}.idx") as index:
-            for batch in iterator:
-                column = batch.column("ids").cast(pa.large_binary())
-                offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-                at = (offsets - offsets[0]) // 4
-                ids = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4") if at[-1] else np.zeros(0, np.uint32)
-                keys = batch.column("doc_id")
+            for keys, ids, at in _given(iterator) if self.vocabulary is None else _encoded(iterator, _encoder(self.vocabulary, self.whole), self.end):
                 words, begin = frames(keys.fill_null(0).to_numpy(), np.asarray(keys.is_valid()), ids, at, self.width)
                 out.write(words.tobytes())
                 index.write(np.stack([size + 4 * begin[:-1], tokens + at[:-1]], axis=1).astype("<i8").tobytes())
-                records, tokens, size = records + len(column), tokens + int(at[-1]), size + 4 * int(begin[-1])
+                records, tokens, size = records + len(keys), tokens + int(at[-1]), size + 4 * int(begin[-1])
         return Shard(place, name, records, tokens, size)
 
     def commit(self, messages: list) -> None:
@@ -260,7 +255,7 @@ class RecordReader(DataSourceReader):
 class TokenRecords(DataSource):
     """`spark.read.format("token_records")`, `df.write.format("token_records")`; see the module for the files.
 
-    Options: `path`; writing `width` (2 or 4 bytes an id); reading `shuffle` (a seed) and `splitBytes`.
+    Options: `path`; writing `width` (2 or 4 bytes an id) and, for texts instead of ids, `vocabulary`, `end` and `whole`; reading `shuffle` (a seed) and `splitBytes`.
     """
 
     @classmethod
@@ -278,50 +273,68 @@ class TokenRecords(DataSource):
 
 
 class _Known(dict):
-    """Numbers for words, given when they are first asked for, and the ids of numbered words in one array."""
+    """Numbers for strings, given when they are first asked for, and the ids of numbered strings in one array."""
 
     def __init__(self):
         self.new: list[str] = []
-        self.pool, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
         self.new.append(word)
         return number
 
-    def number(self, words: Iterator[str], n: int) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, n)
+    def number(self, words: Sequence[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def take_new(self) -> list[str]:
         new, self.new = self.new, []
         return new
 
     def add(self, ids: np.ndarray, size: np.ndarray) -> None:
-        """Ids of the new words, in order."""
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
+        """Ids of the new strings, in order."""
         self.pool, self.size = np.concatenate([self.pool, ids]), np.concatenate([self.size, size])
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words one after another, and how many each has."""
-        count = self.size[numbers]
-        stop = np.cumsum(count)
-        return self.pool[np.arange(count.sum()) + np.repeat(self.first[numbers] - (stop - count), count)], count
+        return _spread(self.pool, self.size, numbers)
+
+
+def _spread(pool: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of numbered strings one after another, and how many each has; `pool` has the ids of string 0, 1, ... in order."""
+    count, first = size[numbers], np.cumsum(size) - size
+    stop = np.cumsum(count)
+    return pool[np.arange(count.sum()) + np.repeat(first[numbers] - (stop - count), count)], count
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What lies between spaces, tabs and line feeds of all texts, one after another, and how many each text has."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].copy()
+    raw[(raw == 9) | (raw == 10)] = 32
+    blanked = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(raw))
+    lists = pc.split_pattern(blanked, " ")
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
     """Ids of whole texts by a vocabulary of the tokenizers library.
 
     Its normaliser and its pieces never reach across a space, tab or line feed, so a text's ids are those of
-    its words between these, one after another.  A word is encoded once and remembered; new words are encoded
-    together, `JOINED` of them in one call, and told apart by the places of their ids.  Where the vocabulary says that it
-    lower-cases and cuts by `PIECES`, a word of printable ASCII is cut here, and its pieces go to the library's
-    model, each once.  (A vocabulary whose pieces hold white space needs `whole=True`, which encodes every text in one go.)
+    its words between these, one after another.  The different words of a run are encoded once.  Where the vocabulary says that
+    it lower-cases and cuts by `PIECES`, words of printable ASCII are cut here, and their pieces go to the library's
+    model; other words are encoded together, `JOINED` of them in one call, and told apart by the places of their ids.  Pieces
+    and other words are remembered.  (A vocabulary whose pieces hold white space needs `whole=True`, which encodes every text in one go.)
     """
 
     JOINED = 256
-    # The pattern of the vocabulary's pieces, as its file has it, and what that means for ASCII.
+    # The pattern of the vocabulary's pieces, as its file has it, and what that means for ASCII words joined by spaces.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\x20")
 
     def __init__(self, path: str, whole: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
@@ -336,47 +349,60 @@ class Encoder:
 
     def forget(self) -> None:
         self.words, self.pieces = _Known(), _Known()
-
-    def learn(self) -> None:
-        """Encode the words that were numbered since the last call."""
-        words = self.words.take_new()
-        cut = [self.cuts and w.isascii() and w.isprintable() and not self.added.search(w) for w in words]
-        size = np.zeros(len(words), np.int64)
-        parts = [self.ASCII_PIECES.findall(w.lower()) for w, c in zip(words, cut, strict=True) if c]
-        numbers = self.pieces.number(chain.from_iterable(parts), sum(map(len, parts)))
+        # The space between joined words is piece 0, without ids.
+        self.pieces.number([" "])
+        self.pieces.take_new()
+        self.pieces.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of printable ASCII one after another, and how many each has."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        numbers = self.pieces.number(self.ASCII_PIECES.findall(" ".join(words).lower()))
         tokens = [[t.id for t in self.model.tokenize(p)] for p in self.pieces.take_new()]
         self.pieces.add(np.fromiter(chain.from_iterable(tokens), np.uint32), np.array([len(t) for t in tokens], np.int64))
-        cut_ids, count = self.pieces.ids(numbers)
-        edge = np.cumsum([0] + [len(p) for p in parts])
-        before = np.concatenate([[0], np.cumsum(count)])
-        size[cut] = before[edge[1:]] - before[edge[:-1]]
-        other = [i for i, c in enumerate(cut) if not c]
-        found = [np.zeros(0, np.uint32)]
-        for k in range(0, len(other), self.JOINED):
-            group = other[k : k + self.JOINED]
-            joined = self.tokenizer.encode(" ".join([words[i] for i in group]), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(words[i]) + 1 for i in group])
+        ids, count = self.pieces.ids(numbers)
+        return ids, np.bincount(np.cumsum(numbers == 0), count, len(words)).astype(np.int64)
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of any kind one after another, and how many each has."""
+        numbers = self.words.number(words)
+        new, found = self.words.take_new(), [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        for k in range(0, len(new), self.JOINED):
+            group = new[k : k + self.JOINED]
+            joined = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(w) + 1 for w in group])
             places = np.array([a for a, _ in joined.offsets], np.int64)
-            size[group] = np.diff(np.searchsorted(places, starts))
-            found.append(np.array(joined.ids, np.uint32))
-        ids = np.zeros(size.sum(), np.uint32)
-        ours = np.repeat(np.array(cut, bool), size)
-        ids[ours], ids[~ours] = cut_ids, np.concatenate(found)
-        self.words.add(ids, size)
-
-    def batch(self, texts: Sequence[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+            found.append((np.array(joined.ids, np.uint32), np.diff(np.searchsorted(places, starts))))
+        ids, size = zip(*found, strict=True)
+        self.words.add(np.concatenate(ids), np.concatenate(size))
+        return self.words.ids(numbers)
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has."""
+        cut = np.asarray(pc.and_(pc.string_is_ascii(words), pc.ascii_is_printable(words))) & self.cuts
+        ours = _strings(words.filter(cut))
+        if self.added.search(" ".join(ours)):
+            cut[cut] = [not self.added.search(w) for w in ours]
+            ours = _strings(words.filter(cut))
+        size = np.zeros(len(words), np.int64)
+        cut_ids, size[cut] = self._cut(ours)
+        other_ids, size[~cut] = self._other(_strings(words.filter(~cut)))
+        ids, of_cut = np.zeros(size.sum(), np.uint32), np.repeat(cut, size)
+        ids[of_cut], ids[~of_cut] = cut_ids, other_ids
+        return ids, size
+
+    def batch(self, texts: pa.Array | Sequence[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with `end` behind it, and where each text's ids start (one more for the end)."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if self.whole:
-            found = [[*e.ids, end] for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+            found = [[*e.ids, end] for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0] + [len(ids) for ids in found])
-        if len(self.words) > REMEMBERED:
+        if len(self.words) + len(self.pieces) > REMEMBERED:
             self.forget()
-        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        n = np.array([len(w) for w in words])
-        numbers = self.words.number(chain.from_iterable(words), n.sum())
-        if self.words.new:
-            self.learn()
-        ids, count = self.words.ids(numbers)
+        words, n = _words(texts)
+        coded = words.dictionary_encode()
+        ids, count = _spread(*self.encode_words(coded.dictionary), coded.indices.to_numpy())
         # The end id follows the last word of each text.
         last = np.concatenate([[0], np.cumsum(count)])[np.cumsum(n)]
         at = last + np.arange(1, len(n) + 1)
@@ -393,22 +419,24 @@ def _encoder(vocabulary: str, whole: bool) -> Encoder:
     return Encoder(vocabulary, whole)
 
 
-def encoded(docs: DataFrame, vocabulary: str, end: int = END_ID, whole: bool = False) -> DataFrame:
-    """`doc_id`, `ids` (4 bytes each) of every row, in the order of rows; null texts as empty ones."""
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, end: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids of (doc_id, text) rows, some rows at a time: doc_ids, ids, and where each row's ids start; null texts as empty ones."""
+    for batch in batches:
+        texts, row = batch.column("text"), 0
+        size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+        while row < batch.num_rows:
+            stop = min(max(row + 1, int(np.searchsorted(size, size[row] + RUN_BYTES, "right")) - 1), batch.num_rows)
+            yield batch.column("doc_id").slice(row, stop - row), *encoder.batch(texts.slice(row, stop - row), end)
+            row = stop
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary, whole)
-        for batch in batches:
-            texts, row = batch.column("text"), 0
-            size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
-            while row < batch.num_rows:
-                stop = min(max(row + 1, int(np.searchsorted(size, size[row] + RUN_BYTES, "right")) - 1), batch.num_rows)
-                ids, at = encoder.batch([t or "" for t in texts.slice(row, stop - row).to_pylist()], end)
-                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - row, [None, pa.py_buffer(4 * at.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, stop - row), blob.cast(pa.binary())], ["doc_id", "ids"])
-                row = stop
 
-    return docs.mapInArrow(run, WRITTEN)
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The same of (doc_id, ids) rows, whose ids (4 bytes each) are there already."""
+    for batch in batches:
+        column = batch.column("ids").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+        at = (offsets - offsets[0]) // 4
+        yield batch.column("doc_id"), np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4") if at[-1] else np.zeros(0, np.uint32), at
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END_ID, whole: bool = False) -> None:
@@ -422,7 +450,8 @@ def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, end
     spark.dataSource.register(TokenRecords)
     order = ["doc_id", F.xxhash64("text"), F.length("text")]
     rows = documents(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    encoded(rows, vocabulary, end, whole).write.format("token_records").option("width", width).mode("append").save(path)
+    writer = rows.write.format("token_records").options(width=width, vocabulary=vocabulary, end=end, whole=whole)
+    writer.mode("append").save(path)
 
 
 def read_records(spark: SparkSession, path: str, shuffle: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from shutterlake.llm import binary_records
 from shutterlake.llm.binary_records import MASK, Encoder, checksums, parse, read_records, record_report, write_records
 from shutterlake.llm.centroids import Clustering, candidates, cluster, cluster_report, hilbert, nearest
 from shutterlake.llm.importance import Resampling, drawn, gains, hashes, resampled
@@ -273,6 +274,26 @@ def test_words_encode_as_whole_texts():
         assert (got == want).all()
 
 
+def test_texts_are_encoded_by_the_writer(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    path = fresh_path(spark, "records-test")
+    spark.dataSource.register(binary_records.TokenRecords)
+    docs(spark, rows).coalesce(1).write.format("token_records").options(vocabulary=public_tokenizers.path("word_bpe_49k.json"), end=7).mode("append").save(path)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for i, t in rows}
+    assert {r.doc_id: list(r.ids) for r in read_records(spark, path).collect()} == want
+
+
+def test_encoder_forgets_pieces_too(monkeypatch):
+    monkeypatch.setattr(binary_records, "REMEMBERED", 100)
+    encoder, whole = (Encoder(public_tokenizers.path("word_bpe_49k.json"), w) for w in (False, True))
+    for k in range(5):
+        texts = [" ".join(f"{a}{b}{c}-{a}é{c}" for b in "abcd" for c in "klmn") + f"\tx{k} <s>" for a in "opqrst"[k : k + 2]]
+        for got, want in zip(encoder.batch(texts, 2), whole.batch(texts, 2), strict=True):
+            assert (got == want).all()
+        assert len(encoder.words) + len(encoder.pieces) <= 100 + 80
+
+
 # ---- names that stages use inside, and cuts that are gone
 
 
