@@ -103,6 +103,33 @@ def test_growth_beyond_the_limit_is_refused_and_leaves_no_trace(spark, tmp_path)
     assert store.rewrite(ids(spark, 1), lambda cat: changes.delete_posts(cat, ids(spark, 1))) == (3, False, 49)
 
 
+def test_what_is_refused_is_not_written_first(spark, tmp_path, monkeypatch):
+    store = CatalogueStore(spark, str(tmp_path / "c"), buckets=4, limit_bytes=1000)
+    store.load(catalogue(spark, [post(1)])._replace(posts=sized(spark, {1: (0, 1, 900)})))
+    dealt, deal = [], store._deal
+    monkeypatch.setattr(store, "_deal", lambda rows, name, folder: (dealt.append(name), deal(rows, name, folder)))
+    grown = sized(spark, {2: (0, 1, 50)})
+    assert store.rewrite(grown.select("id"), put(grown)) == (0, True, 900) and dealt == []
+    with pytest.raises(ValueError, match="not to touch"):  # before as after, a fault goes first
+        store.rewrite(ids(spark, 1), put(grown))
+    fits = sized(spark, {2: (0, 1, 49)})
+    assert store.rewrite(fits.select("id"), put(fits)) == (1, False, 949) and sorted(dealt) == ["assets", "post_tags", "posts"]
+
+
+def test_growth_is_admitted_again_as_written(spark, tmp_path, monkeypatch):
+    store = CatalogueStore(spark, str(tmp_path / "c"), buckets=4, limit_bytes=1000)
+    store.load(catalogue(spark, [post(1)])._replace(posts=sized(spark, {1: (0, 1, 900)})))
+    deal = store._deal
+
+    def more(rows, name, folder):  # a change that gives more when it runs again
+        deal(rows.withColumn("photo_bytes", F.col("photo_bytes") + 60) if name == "posts" else rows, name, folder)
+
+    monkeypatch.setattr(store, "_deal", more)
+    fits = sized(spark, {2: (0, 1, 9)})
+    assert store.rewrite(fits.select("id"), put(fits)) == (0, True, 900)
+    assert not (tmp_path / "c" / "v=1").exists() and store.total_bytes() == 900
+
+
 def test_faults(spark, tmp_path):
     store = CatalogueStore(spark, str(tmp_path / "c"), buckets=4)
     store.load(catalogue(spark, [post(1), post(2)], [(1, "t")], [(1, 1)]))
