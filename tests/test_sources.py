@@ -242,6 +242,37 @@ def test_marks_compare_ids_of_any_length(spark):
     assert sorted(r.tweet_id for r in newer_than_known(items, marks).collect()) == ["1" + "0" * 45, "7"]
 
 
+def test_marks_join_without_sorting_the_items(spark):
+    from shutterlake.operators.timeline import newer_than_known
+
+    items = spark.range(1000).selectExpr("concat('a', id % 7) AS account", "cast(id AS string) AS tweet_id", "'' AS date")
+    marks = spark.createDataFrame([("a1", "500", ""), ("a2", None, "")], "account string, post_id string, date string")
+    newer = newer_than_known(items, marks)
+    assert newer.count() == sum(i % 7 != 1 or i > 500 for i in range(1000))
+    plan = newer._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("ShuffledHashJoin", "")
+
+
+def test_session_bounds_what_a_task_reads(spark):
+    from shutterlake.session import tune
+
+    session = spark.newSession()
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.openCostInBytes")
+    for name, value in zip(names, ("128MB", "1m", "4194304b"), strict=True):
+        session.conf.set(name, value)
+    tune(session)
+    assert [session.conf.get(n) for n in names] == [str(8 << 20), "1m", str(64 << 10)]  # smaller values stay
+
+
+def test_small_objects_share_tasks(spark, tmp_path):
+    for k in range(1200):
+        (tmp_path / f"f{k % 40}").mkdir(exist_ok=True)
+        (tmp_path / f"f{k % 40}" / f"d{k}.txt").write_bytes(b"x" * (1 + k % 9))
+    found = tables.list_objects(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= max(12, 2 * spark.sparkContext.defaultParallelism)
+    assert {(r.key, r.size) for r in found.collect()} == {(f"d{k}.txt", 1 + k % 9) for k in range(1200)}
+
+
 def test_like_log_survives_replay(spark, tmp_path):
     posts = spark.createDataFrame([(1, 0), (2, 5)], "id long, likes long")
     log = likes.like_log(spark, str(tmp_path / "log"))
