@@ -67,3 +67,17 @@ def repeats(texts: dict[int, str | None], length: int = 400) -> dict:
         spans = sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1]))
         out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
     return out
+
+
+def repeated_words(texts: dict[int, str | None], run: int = 51) -> dict:
+    """How many words of each text lie in runs of `run` words that another text has, too."""
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts.items()}
+    where: dict[tuple, set] = {}
+    for i, w in split.items():
+        for p in range(len(w) - run + 1):
+            where.setdefault(tuple(w[p : p + run]), set()).add(i)
+    out = {}
+    for i, w in split.items():
+        hit = {q for p in range(len(w) - run + 1) if len(where[tuple(w[p : p + run])]) > 1 for q in range(p, p + run)}
+        out[i] = len(hit)
+    return out

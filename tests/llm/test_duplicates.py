@@ -6,7 +6,7 @@ from shutterlake.llm.exact_dedup import drop_exact_duplicates, exact_duplicates,
 from shutterlake.llm.jaccard_join import Join, drop_near_duplicates, near_duplicates
 from shutterlake.llm.suffix_dedup import COVER, PERIOD, repeated_spans
 
-from .helpers import by_id, components, docs, prose, repeats, word_set
+from .helpers import by_id, components, docs, prose, repeated_words, repeats, word_set
 
 EDGES = [(1, None), (2, ""), (3, "  \n\t"), (None, "lost row here now"), (4, "One TWO three"), (5, "one two three"), (6, "É one")]
 
@@ -110,3 +110,32 @@ def test_repeated_spans_edge_cases(spark):
     assert all(r.n_removed == r.n_bytes for r in got if r.doc_id == 1)
     assert all(r.n_removed == 0 for r in got if r.doc_id != 1)
     assert repeated_spans(docs(spark, [])).count() == 0
+
+
+def test_passages_of_over_fifty_words_are_told_where_they_are_short(spark):
+    def brief(seed, n):
+        return " ".join(w[:2] + w[-3:] for w in prose(seed, n).split())
+
+    shared, other, inner = brief(200, 51), brief(201, 58), brief(202, 60)
+    assert max(len(shared), len(other)) < 400
+    rows = [(i, prose(210 + i, 30 + 10 * i)) for i in range(8)]
+    rows += [(20 + i, f"{prose(220 + i, 40 + i)} {shared}\n{prose(230 + i, 9 * i)}") for i in range(4)]
+    rows += [(30, shared[: shared.rindex(" ")]), (31, shared.replace(" ", "\t  ")), (32, shared.upper())]
+    rows += [(40, f"{prose(240, 70)} {other}"), (41, f"{other} {prose(241, 5)} {other}"), (42, f"{inner} {prose(242, 20)} {inner}")]
+    rows += [(50, brief(203, 55)), (51, brief(203, 55)), (52, brief(204, 50)), (53, brief(204, 50)), (60, None), (61, "")]
+    rows += [(70, prose(205, 130)), (71, f"é {prose(205, 130)} more"), (72, prose(205, 130)[40:900])]
+    out = by_id(repeated_spans(docs(spark, rows)))
+    want, lost = repeated_words(dict(rows)), repeats(dict(rows))
+    assert [want[i] for i in (0, 20, 30, 31, 40, 41, 42, 50, 52, 70)] == [0, 51, 0, 51, 58, 116, 0, 55, 0, 130]
+    assert {i: r.n_repeated_words for i, r in out.items()} == want
+    assert {i: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for i, r in out.items()} == lost
+    assert out[20].n_removed == out[40].n_removed == 0
+
+
+def test_repeated_words_of_rows_with_one_id_and_without(spark):
+    text = prose(206, 60)
+    rows = [(1, text), (1, text), (2, prose(207, 60)), (None, prose(207, 60)), (3, prose(208, 52)), (3, prose(209, 90)), (4, prose(209, 90)[:450])]
+    got = repeated_spans(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert [r.n_repeated_words for r in got if r.doc_id == 1] == [60, 60]
+    assert all(r.n_repeated_words == 0 for r in got if r.doc_id in (2, None))
