@@ -7,12 +7,16 @@ Jaccard distance is a metric, so a set x within eps of y obeys |d(x, p) - d(y, p
    tested on a quarter of the shingles first, chosen by hash: a set that misses more of them than it may
    miss of all of them is out.  Of the sets that are left, all shingles are tested, again and again while the
    sets that go leave others alone.  No set with a partner is lost.
-3. Pivots split the rest into Voronoi regions.  A set lives in the region of its nearest pivot and is
+3. Items are ordered by how many sets have them.  Two similar sets share one of their first items, as many as a set may
+   miss and one more, so sets that share none, directly or by others, are never similar: they fall into *bundles* (as in
+   the prefix filter of Bayardo et al., 2007).  Nearly all bundles are a cluster of near copies; they are dealt to regions
+   of one task's size, all at once.  Only bundles too heavy for one task go on to the pivots.
+4. Pivots split those into Voronoi regions.  A set lives in the region of its nearest pivot and is
    copied to every region whose pivot is at most 2 eps farther; then each pair meets where one of the two
    lives.  Any function that changes by at most d(x, y) may stand for a pivot's distance: the constant
    RADIUS stands for one more, the outer region of sets that no pivot is near to.  It is split again by
    new pivots taken from it, until it fits one task.
-4. Inside a region all sets within eps of the pivot are linked through it.  The others are compared with
+5. Inside a region all sets within eps of the pivot are linked through it.  The others are compared with
    every set of the region.  A region too heavy for one task is cut into blocks, and pairs of blocks meet.
 
 The links' connected components are computed by star contraction.
@@ -28,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import LOWER, Rolling, documents, materialise, repeated_keys, shingles, text_chunks, words
+from shutterlake.llm.common import LOWER, Rolling, documents, materialise, mix, pack, repeated_keys, shingles, text_chunks, unpack, words
+from shutterlake.operators.blocks import stars
 from shutterlake.operators.components import connected_components
 
 SAMPLED = np.uint64(1 << 62)  # shingle hashes below this are the tested quarter
@@ -305,12 +310,123 @@ def region_links(placed: DataFrame, p: Join) -> DataFrame:
     return found.applyInArrow(join_block(p.percent), "src long, dst long").unionByName(through).filter("src <> dst").distinct()
 
 
+FLUSH = 1 << 21  # items that are dealt to buckets at a time
+
+
+def dealt(target: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed arrays) for each bucket among `target`."""
+    order = np.argsort(target, kind="stable")
+    edge = np.flatnonzero(np.diff(target[order], prepend=-1, append=-1))
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        at = order[lo:hi]
+        yield int(target[at[0]]), pack(*(a[at] for a in arrays))
+
+
+def blocks(rows: Iterator[tuple[int, bytes]]) -> pa.Table:
+    found = list(rows)
+    return pa.table([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
+
+
+def unpacked(group: pa.Table, *kinds: type) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*(unpack(b.as_py(), *kinds) for b in group["blob"]), strict=True)]
+
+
+def bundle_links(sets: DataFrame, p: Join) -> DataFrame:
+    """(src, dst): links between sets that share one of their rarest items, one link for each set and bucket at most.
+
+    Sets that no chain of these links connects are not similar.  Buckets are dealt as in `repeated_keys`, by item, by
+    set, and by item again; the second time only the first items of a set are sent.
+    """
+    buckets, percent = np.uint64(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), p.percent
+
+    def of(x: np.ndarray) -> np.ndarray:
+        return (x % buckets).astype(np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for i, n, items in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["items"], strict=True):
+                keys = np.frombuffer(items.as_py(), np.uint64)
+                parts.append((keys, np.full(len(keys), i), np.full(len(keys), n)))
+                held += len(keys)
+                if held >= FLUSH:
+                    yield from send(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from send(parts)
+
+    def send(parts: list) -> Iterator[pa.RecordBatch]:
+        keys, ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield from blocks(dealt(of(keys), keys, ids, n)).to_batches()
+
+    def count(group: pa.Table) -> pa.Table:
+        """The items that several sets have, with how many have them, dealt by set."""
+        keys, ids, n = unpacked(group, np.uint64, np.int64, np.int64)
+        _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+        several = times[at] > 1
+        keys, ids, n, times = keys[several], ids[several], n[several], times[at][several]
+        return blocks(dealt(of(mix(ids.view(np.uint64))), keys, ids, n, times))
+
+    def choose(group: pa.Table) -> pa.Table:
+        """The first items of each set, and which of them it may share first with a set that is not smaller.
+
+        Items that no other set has come before all others and link with none.
+        """
+        keys, ids, n, times = unpacked(group, np.uint64, np.int64, np.int64, np.int64)
+        order = np.lexsort((keys, times, ids))
+        keys, ids, n = keys[order], ids[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        size = np.diff(np.append(start, len(ids)))
+        rank = np.arange(len(ids)) - np.repeat(start - (n[start] - size), size)
+        first = rank <= n - -(-percent * n // 100)
+        least = rank <= n - -(-2 * percent * n // (100 + percent))
+        keys, ids, n, least = keys[first], ids[first], n[first], least[first]
+        return blocks(dealt(of(keys), keys, ids, n, least))
+
+    def link(group: pa.Table) -> pa.Table:
+        """A set with an item is linked with the next smaller one that may share it first, if their sizes allow that.
+
+        Between two similar sets all such sets have sizes between theirs, so a chain of links joins them.
+        """
+        keys, ids, n, least = unpacked(group, np.uint64, np.int64, np.int64, np.bool_)
+        order = np.lexsort((n, keys))
+        keys, ids, n, least = keys[order], ids[order], n[order], least[order]
+        at = np.arange(len(keys))
+        before = np.maximum.accumulate(np.where(least, at, -1))[:-1]
+        a, b = before[before >= 0], at[1:][before >= 0]
+        near = (keys[a] == keys[b]) & (100 * n[a] >= percent * n[b])
+        found = stars(np.stack([ids[a[near]], ids[b[near]]]))
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["src", "dst"])
+
+    kind = "bucket int, blob binary"
+    counted = sets.select("doc_id", "n", "items").mapInArrow(deal, kind).groupBy("bucket").applyInArrow(count, kind)
+    return counted.groupBy("bucket").applyInArrow(choose, kind).groupBy("bucket").applyInArrow(link, "src long, dst long")
+
+
 def links(sets: DataFrame, p: Join = Join()) -> DataFrame:
     """(src, dst): links that connect exactly the sets that links of the full join connect.
 
     `sets`: doc_id, n, items (distinct uint64 hashes), doc_id unique.  Every row (src, dst) is a chain of
-    links of the join, mostly one.
+    links of the join, mostly one.  A set that shares no rare item with another has no link.
     """
+    weight = F.sum(F.col("n") + DOC_WEIGHT)
+    bundle = connected_components(bundle_links(sets, p)).select(F.col("node").alias("doc_id"), F.col("component").alias("bundle"))
+    bundled = materialise(sets.select("doc_id", "n", "items").join(bundle.hint("merge"), "doc_id"), "bundles")
+    loads = materialise(bundled.groupBy("bundle").agg(weight.alias("load")), "loads")
+    heavy = loads.filter(F.col("load") > p.region_weight).select("bundle")
+    light = loads.filter(F.col("load") <= p.region_weight).agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
+    cells = max(1, -(-8 * light // p.region_weight))
+    # At most one heavy bundle for `region_weight` of all sets' weight.
+    placed = bundled.join(F.broadcast(heavy), "bundle", "left_anti").select(
+        "doc_id", "n", "items", F.pmod(F.xxhash64("bundle"), F.lit(cells)).alias("cell"), F.lit(False).alias("ball")
+    )
+    inner = materialise(region_links(placed, p), "links")
+    rest = bundled.join(F.broadcast(heavy), "bundle", "left_semi")
+    return inner if heavy.isEmpty() else inner.unionByName(pivot_links(rest, p))
+
+
+def pivot_links(sets: DataFrame, p: Join) -> DataFrame:
+    """`links` by pivots, round by round."""
     found, remaining = None, sets.withColumn("home", F.lit(True))
     while True:
         load = remaining.agg(F.coalesce(F.sum(F.col("n") + DOC_WEIGHT), F.lit(0))).first()[0]

@@ -1,9 +1,11 @@
 import hashlib
 
+import numpy as np
 import pytest
 
+from shutterlake.llm import jaccard_join
 from shutterlake.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, new_index, digests
-from shutterlake.llm.jaccard_join import Join, drop_near_duplicates, near_duplicates
+from shutterlake.llm.jaccard_join import SET, Join, bundle_links, drop_near_duplicates, near_duplicates
 from shutterlake.llm.suffix_dedup import COVER, PERIOD, repeated_spans
 
 from .helpers import by_id, components, docs, prose, repeated_words, repeats, word_set
@@ -71,6 +73,43 @@ def test_the_stage_values_equal_brute_force_in_small_regions(spark):
     assert {i: out[i].component_id for i, _ in rows} == components({i: word_set(t, 5) for i, t in rows}, 80)
 
 
+def test_small_clusters_need_no_rounds_however_many_they_are(spark, monkeypatch):
+    rows = [(10 * c + k, prose(500 + c, 60) + (f" extra{k}" if k else "")) for c in range(60) for k in range(3)]
+    p = Join(pivots=4, pivot_items=400, region_weight=3000)
+    rounds = []
+    monkeypatch.setattr(jaccard_join, "spread_pivots", lambda *a: rounds.append(1))
+    out = by_id(near_duplicates(docs(spark, rows), p))
+    assert {i: out[i].component_id for i, _ in rows} == components({i: word_set(t) for i, t in rows}, 85)
+    assert not rounds
+
+
+def test_bundles_hold_all_similar_sets_of_any_sizes(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for c in range(40):
+        base = rng.integers(0, 4000, rng.integers(1, 120)).astype(np.uint64)
+        for k in range(4):
+            keep = base[rng.random(len(base)) < 0.93]
+            more = rng.integers(0, 4000, rng.integers(0, 4)).astype(np.uint64)
+            items = np.unique(np.concatenate([keep, more]))
+            rows.append((4 * c + k, len(items), bytearray(items.tobytes())))
+    rows = [r for r in rows if r[1]]
+    sets = {i: set(np.frombuffer(bytes(x), np.uint64).tolist()) for i, _, x in rows}
+    edges = bundle_links(spark.createDataFrame(rows, SET), Join()).collect()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for e in edges:
+        root[find(e.src)] = find(e.dst)
+    similar = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert len(similar) > 20
+    assert all(find(i) == find(j) for i, j in similar)
+
+
 def test_near_duplicates_edge_cases(spark):
     long = prose(1, 3000) + " " + "w" * 50_000
     rows = [*EDGES, (7, long), (8, long + " end"), (10, "twice one two three"), (10, "twice one two three")]
