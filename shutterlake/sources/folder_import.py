@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions.accounts import profile_url
+from shutterlake.sources.listing import list_files
 
 PHOTO_FILES = r"(?i)\.(jpg|jpeg|png)\z"
 
 
 def list_photos(spark: SparkSession, folder: str) -> DataFrame:
     """(name, size) of the photo files of a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.regexp_extract("path", r"([^/]+)\z", 1)
-    return files.select(name.alias("name"), F.col("length").alias("size")).filter(
-        F.regexp_like("name", F.lit(PHOTO_FILES))
-    )
+    return list_files(spark, folder).select(name.alias("name"), "size").filter(F.regexp_like("name", F.lit(PHOTO_FILES)))
 
 
 def group_files(files: DataFrame) -> DataFrame:

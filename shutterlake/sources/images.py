@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from shutterlake.sources.listing import list_files
+
 SIDE, LOW = 32, 8
+LISTING_TASKS = 32
 
 
 def _basis() -> np.ndarray:
@@ -94,13 +97,18 @@ def read_pixels(spark: SparkSession, path: str | list[str], drop_invalid: bool =
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """[S5, S2] (key, path) of all files below a folder; no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("key"), "path")
+    return list_files(spark, folder).select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("key"), "path")
 
 
 def read_listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     """[S5] (key, pixels) of just these files, with NULL pixels for what cannot be decoded."""
     if not paths:
         return spark.createDataFrame([], "key string, pixels array<int>")
-    # The source takes patterns; here every character stands for itself.
-    return read_pixels(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths], drop_invalid=False)
+    # The source takes patterns; here every character stands for itself.  Some tasks ask for the files' sizes, not one for each file.
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), LISTING_TASKS))
+    try:
+        return read_pixels(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths], drop_invalid=False)
+    finally:
+        spark.conf.set(name, before)

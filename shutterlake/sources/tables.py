@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterlake.schema import OBJECTS, TABLES, Catalogue
+from shutterlake.sources.listing import list_digests, list_files
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -25,14 +26,12 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_objects(spark: SparkSession, folder: str, with_etag: bool = True) -> DataFrame:
-    """[S2] Inventory of a folder of files, by one distributed scan.
+    """[S2] Inventory of a folder of files, listed and read by tasks.
 
-    Without etags the contents are never read: only path and length are selected.
+    Without etags the contents are never read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    key = F.regexp_extract("path", r"([^/]+)\z", 1).alias("key")
-    etag = F.md5("content") if with_etag else F.lit(None).cast("string")
-    return files.select(key, etag.alias("etag"), F.col("length").alias("size"))
+    files = list_digests(spark, folder) if with_etag else list_files(spark, folder).withColumn("etag", F.lit(None).cast("string"))
+    return files.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("key"), "etag", "size")
 
 
 def records(df: DataFrame, column: str, schema: T.StructType, keep: list[str | Column] = ()) -> DataFrame:

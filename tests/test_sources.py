@@ -12,7 +12,7 @@ from shutterlake.functions.hashing import phash_from_coefficients, signed
 from shutterlake.operators import ingest, tagging
 from shutterlake.schema import ACCOUNTS, POSTS
 from shutterlake.plans import near_duplicates
-from shutterlake.sources import folder_import, images, tables, timeline
+from shutterlake.sources import folder_import, images, listing, tables, timeline
 from shutterlake.sources.snapshots import BatchLog, Snapshots
 from shutterlake.streaming import ingest as ingest_job
 from shutterlake.streaming import likes
@@ -273,6 +273,21 @@ def test_small_objects_share_tasks(spark, tmp_path):
     assert {(r.key, r.size) for r in found.collect()} == {(f"d{k}.txt", 1 + k % 9) for k in range(1200)}
 
 
+def test_the_driver_holds_no_listing(spark, tmp_path):
+    for name in ("a/b c/1.txt", "a/2%20.txt", "3é.txt", "a/_skip/4.txt", ".5.txt", "_6.txt", "_k=1/7.txt", "8+.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "none").mkdir()
+    found = tables.list_objects(spark, str(tmp_path))
+    old = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    rows = {(r.path, r.key, r.etag, r.size) for r in old.select("path", F.regexp_extract("path", r"([^/]+)\z", 1).alias("key"), F.md5("content").alias("etag"), F.col("length").alias("size")).collect()}
+    assert {r.key for r in found.collect()} == {"1.txt", "2%20.txt", "3é.txt", "7.txt", "8+.txt"}
+    assert {tuple(r) for r in found.collect()} == {r[1:] for r in rows}
+    assert {(r.path, r.size) for r in listing.list_files(spark, f"file://{tmp_path}").collect()} == {(r[0], r[3]) for r in rows}
+
+
 def test_like_log_survives_replay(spark, tmp_path):
     posts = spark.createDataFrame([(1, 0), (2, 5)], "id long, likes long")
     log = likes.like_log(spark, str(tmp_path / "log"))
