@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from itertools import islice
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.hashing import hash_to_hex, phash_from_coefficients
 from shutterlake.operators import changes, similarity
+from shutterlake.operators.skew import number_rows
 from shutterlake.schema import Catalogue
-from shutterlake.session import materialise
+from shutterlake.session import fresh_path, materialise
 from shutterlake.sources import images
 from shutterlake.sources.images import dct_coefficients
 
@@ -56,15 +58,21 @@ def hash_new_media(cat: Catalogue, pixels: DataFrame, limit: int | None = None)
     return _hashes(todo, pixels)
 
 
+FILE_HASHES = "key string, _found boolean, phash string, reason string"
+MISSING = "image missing or unreadable"
+
+
 def _hashes(todo: DataFrame, pixels: DataFrame) -> DataFrame:
-    joined = todo.join(pixels, "key", "left").withColumn("found", F.col("pixels").isNotNull())
-    hashed = dct_coefficients(joined)
-    reason = F.when(~F.col("found"), "image missing or unreadable").when(
-        F.col("coefficients").isNull(), "unexpected pixel format"
-    )
-    return hashed.select(
-        "post_id", "key", hash_to_hex(phash_from_coefficients("coefficients")).alias("phash"), reason.alias("reason")
-    )
+    joined = todo.join(pixels, "key", "left")
+    return _file_hashes(joined).select("post_id", "key", "phash", "reason")
+
+
+def _file_hashes(pixels: DataFrame) -> DataFrame:
+    """`phash`, `reason` and `_found` in place of `pixels`."""
+    hashed = dct_coefficients(pixels.withColumn("_found", F.col("pixels").isNotNull()))
+    reason = F.when(~F.col("_found"), MISSING).when(F.col("coefficients").isNull(), "unexpected pixel format")
+    phash = hash_to_hex(phash_from_coefficients("coefficients"))
+    return hashed.withColumns({"phash": phash, "reason": reason}).drop("coefficients")
 
 
 def hash_backfill(cat: Catalogue, pixels: DataFrame, now: datetime, limit: int | None = None) -> Catalogue:
@@ -79,24 +87,72 @@ class Run(NamedTuple):
     opened: int
 
 
-def hash_listed_media(cat: Catalogue, folder: str, limit: int = RUN_FILES, skip: DataFrame | None = None) -> Run:
-    """[X12, S5] Hash media without a stored hash from the files of a folder, opening no other file.
+class Backlog:
+    """What a folder has to hash: listed and put in order once, and handed out run by run.
 
-    The folder is listed, not read; listed keys without a hash, in order of post and key, are opened until `limit`
-    files are reached: that many paths go through the driver.  `skip` (`key`) leaves out what failed before, so that
-    unreadable files do not fill every run.  A run that finds nothing to do opens none.
+    `todo`: (post_id, key, place), where `place` counts the keys from 1, in order of their first post and name.  Paths pass
+    through the driver, a partition at a time; what was handed out is not handed out again, hashed or not.
     """
-    spark = cat.posts.sparkSession
+
+    def __init__(self, todo: DataFrame, files: DataFrame):
+        first = todo.groupBy("key").agg(F.min("post_id").alias("first"))
+        placed = materialise(number_rows(first.join(files, "key"), ["first", "key"], name="place").select("place", "key", "path"), "backlog")
+        self.todo = materialise(todo.join(placed.select("key", "place"), "key").repartitionByRange("place").sortWithinPartitions("place"), "todo")
+        self._paths = (r["path"] for r in placed.select("place", "path").orderBy("place").toLocalIterator())
+        self.at = 0
+        self.runs: list[str] = []
+
+    def take(self, n: int) -> tuple[list[str], DataFrame]:
+        """Paths of the next files, `n` at most, and the rows of `todo` with their keys."""
+        paths = list(islice(self._paths, n))
+        low, self.at = self.at, self.at + len(paths)
+        return paths, self.todo.filter((F.col("place") > low) & (F.col("place") <= self.at)).drop("place")
+
+    def keep(self, hashes: DataFrame) -> DataFrame:
+        """Write the hashes of a run's files."""
+        self.runs.append(fresh_path(hashes.sparkSession, "file-hashes"))
+        hashes.write.parquet(self.runs[-1])
+        return hashes.sparkSession.read.schema(FILE_HASHES).parquet(self.runs[-1])
+
+    def hashed(self) -> DataFrame:
+        """The rows of all runs' `hashed`, joined at once."""
+        spark = self.todo.sparkSession
+        files = spark.read.schema(FILE_HASHES).parquet(*self.runs) if self.runs else spark.createDataFrame([], FILE_HASHES)
+        return _run_rows(self.todo.filter(F.col("place") <= self.at), files)
+
+
+def hash_backlog(cat: Catalogue, folder: str, skip: DataFrame | None = None) -> Backlog:
+    """[X12, S5] Media without a stored hash that the folder has, for many runs of `hash_listed_media` in a row."""
     todo = similarity.unhashed_media(cat.posts, cat.assets).select("post_id", "key")
     if skip is not None:
         todo = todo.join(skip.select("key").distinct(), "key", "left_anti")
     # A key of several posts or folders is one file: the first path by name.
-    files = images.list_images(spark, folder).groupBy("key").agg(F.min("path").alias("path"))
-    first = todo.groupBy("key").agg(F.min("post_id").alias("first"))
-    chosen = first.join(files, "key").orderBy("first", "key").limit(limit).select("key", "path").collect()
-    keys = spark.createDataFrame([(r["key"],) for r in chosen], "key string")
-    pixels = images.read_listed(spark, [r["path"] for r in chosen])
-    return Run(_hashes(todo.join(F.broadcast(keys), "key", "left_semi"), pixels), len(chosen))
+    files = images.list_images(cat.posts.sparkSession, folder).groupBy("key").agg(F.min("path").alias("path"))
+    return Backlog(todo, files)
+
+
+def hash_listed_media(cat: Catalogue, folder: str, limit: int = RUN_FILES, skip: DataFrame | None = None, backlog: Backlog | None = None) -> Run:
+    """[X12, S5] Hash media without a stored hash from the files of a folder, opening no other file.
+
+    The folder is listed, not read; listed keys without a hash, in order of post and key, are opened until `limit`
+    files are reached: that many paths go through the driver.  `skip` (`key`) leaves out what failed before, so that
+    unreadable files do not fill every run.  A run that finds nothing to do opens none.
+
+    Runs in a row share a `backlog` (`hash_backlog`): each goes on where the one before ended, without listing the folder
+    or asking for stored hashes again, so the hashes of all (`backlog.hashed()`) may be stored at once behind the last.
+    """
+    backlog = backlog or hash_backlog(cat, folder, skip)
+    paths, todo = backlog.take(limit)
+    if not paths:
+        return Run(cat.posts.sparkSession.createDataFrame([], "post_id long, key string, phash string, reason string"), 0)
+    # A row for each file of the run.
+    hashes = F.broadcast(backlog.keep(_file_hashes(images.read_listed(cat.posts.sparkSession, paths))))
+    return Run(_run_rows(todo, hashes), len(paths))
+
+
+def _run_rows(todo: DataFrame, hashes: DataFrame) -> DataFrame:
+    reason = F.when(F.col("_found"), F.col("reason")).otherwise(MISSING).alias("reason")
+    return todo.join(hashes, "key", "left").select("post_id", "key", "phash", reason)
 
 
 def store_hashes(cat: Catalogue, hashed: DataFrame, now: datetime) -> Catalogue:

@@ -80,6 +80,27 @@ def test_only_listed_images_without_a_hash_are_opened(spark, tmp_path):
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString() and listed.count() == 5
 
 
+def test_runs_over_one_backlog_list_the_folder_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    for k in range(7):
+        bmp(tmp_path / f"v{k}.bmp", rng.integers(0, 256, (32, 32)).tolist())
+    (tmp_path / "bad.bmp").write_bytes(b"no image")
+    posts = [post(1, "bad.bmp,v0.bmp"), post(2, "v1.bmp,v2.bmp,gone.bmp"), post(3, "v2.bmp,v3.bmp"), post(4, "v4.bmp", published=0), post(5, "v5.bmp,v6.bmp")]
+    cat = catalogue(spark, posts, assets=[(1, 5, "v6.bmp", None, "0" * 16, 1, None)])
+    one = {(r.post_id, r.key, r.phash, r.reason) for r in near_duplicates.hash_listed_media(cat, str(tmp_path)).hashed.collect()}
+    listings = []
+    monkeypatch.setattr(images, "list_images", lambda *a, real=images.list_images: listings.append(1) or real(*a))
+    backlog = near_duplicates.hash_backlog(cat, str(tmp_path))
+    runs = []
+    while (run := near_duplicates.hash_listed_media(cat, str(tmp_path), limit=2, backlog=backlog)).opened:
+        runs.append((run.opened, {(r.post_id, r.key, r.phash, r.reason) for r in run.hashed.collect()}))
+    assert len(listings) == 1 and [n for n, _ in runs] == [2, 2, 2]
+    assert [{k for _, k, _, _ in rows} for _, rows in runs] == [{"bad.bmp", "v0.bmp"}, {"v1.bmp", "v2.bmp"}, {"v3.bmp", "v5.bmp"}]
+    assert set().union(*(rows for _, rows in runs)) == one and len(one) == 7
+    assert run.hashed.count() == 0
+    assert {(r.post_id, r.key, r.phash, r.reason) for r in backlog.hashed().collect()} == one
+
+
 def test_larger_images_shrink_by_area(spark, tmp_path):
     small = np.arange(1024).reshape(32, 32) % 251
     bmp(tmp_path / "big.bmp", np.kron(small, np.ones((3, 3), dtype=int)).tolist())

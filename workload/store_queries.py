@@ -318,11 +318,11 @@ def _hash_listed(v: Views) -> DataFrame:
         F.lit(None).cast("string").alias("etag"), F.lit("0" * 16).alias("phash"), F.lit(1).alias("phash_version"), F.lit(None).cast("timestamp").alias("hashed_at"),
     )
     cat = v.catalogue()._replace(posts=materialise(posts, "posts"), assets=known)
-    opened = 0
-    while (run := near_duplicates.hash_listed_media(cat, folder, limit=1_000)).opened:
+    opened, backlog = 0, near_duplicates.hash_backlog(cat, folder)
+    while (run := near_duplicates.hash_listed_media(cat, folder, limit=1_000, backlog=backlog)).opened:
         opened += run.opened
-        cat = near_duplicates.store_hashes(cat, run.hashed, NOW)
-        cat = cat._replace(assets=materialise(cat.assets, "assets"))
+    cat = near_duplicates.store_hashes(cat, backlog.hashed(), NOW)
+    cat = cat._replace(assets=materialise(cat.assets, "assets"))
     new = cat.assets.filter("hashed_at is not null")
     return new.select("post_id", "key", hashing.hash_from_hex("phash").alias("hash"), F.lit(opened).cast("long").alias("opened"))
 
