@@ -309,6 +309,28 @@ def test_the_driver_holds_no_listing(spark, tmp_path):
     assert {(r.path, r.size) for r in listing.list_files(spark, f"file://{tmp_path}").collect()} == {(r[0], r[3]) for r in rows}
 
 
+def test_items_worth_fetching_are_shuffled_once(spark):
+    rows = [(f"a{k % 5}", k, str(100 + k // 3) if k % 11 else None, f"http://x/{k % 7}.jpg", "photo", "2024-01-01 00:00:00", "t", "n") for k in range(200)]
+    items = spark.createDataFrame(rows, "account string, pos long, tweet_id string, url string, type string, date string, content string, nick string")
+    names = spark.createDataFrame([("A0", 1, 0), ("a1", 1, 1), ("a2", 0, 0), ("a3", 1, 0), ("a4", 1, 1), ("gone", 1, 0)], "username string, enabled int, crawl_all int")
+    marks = spark.createDataFrame([("a0", "140", ""), ("a1", "140", "x"), ("a3", "101", ""), ("a4", "100", "")], "account string, post_id string, date string")
+    state = ingest.IngestState(None, None, None, marks, names)
+    found = ingest.fetch_list(items, state)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # The items and the accounts asked for; no further shuffle by post or account.
+    assert plan.count("Exchange hashpartitioning(account") == 2
+    heads = {a: min((p, t) for x, p, t, *_ in rows if x == a and t)[1] for a in ("a0", "a1", "a3", "a4")}
+    mark = {"a0": "140", "a1": "140", "a3": "101", "a4": "100"}
+    same = {a for a in heads if heads[a] == mark[a]}
+    full = {"a1", "a4"}
+    wanted = {}
+    for a, p, t, url, *_ in rows:
+        if a in heads and a not in same and (a in full or t is None or int(t) > int(mark[a])):
+            wanted.setdefault((a, t or "undefined"), {}).setdefault(url, p)
+    want = {(a, t, p, n) for (a, t), urls in wanted.items() for n, p in enumerate(sorted(urls.values()), 1)}
+    assert same and {(r.account, r.tweet_id, r.pos, r.nn) for r in found.collect()} == want
+
+
 def test_like_log_survives_replay(spark, tmp_path):
     posts = spark.createDataFrame([(1, 0), (2, 5)], "id long, likes long")
     log = likes.like_log(spark, str(tmp_path / "log"))
